@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, pii, quality
 from .common import table
 
 
@@ -17,5 +17,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs).select("doc_id", "ids")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe)}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.scored(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality)}
 ORACLE_SQL: dict[str, str] = {}
