@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality
+from . import bpe, mixing, pii, quality, rules
 from .common import table
 
 
@@ -22,5 +22,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.scored(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality)}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.train(docs, table(spark, sf_dir, "labels"))
+    return rules.digest(rules.measured(docs), learned)
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality, op6_mixing, op8_rules)}
 ORACLE_SQL: dict[str, str] = {}
