@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, rules
+from . import bpe, mixing, pii, quality, rules, substrings
 from .common import table
 
 
@@ -33,5 +33,9 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.measured(docs), learned)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality, op6_mixing, op8_rules)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality, op6_mixing, op8_rules, op9_substrings)}
+ORACLE_SQL: dict[str, str] = {"op9_substrings": substrings.SQL}
