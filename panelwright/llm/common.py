@@ -53,13 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def next_row(df: DataFrame, order: str, carried: list[str], per_bucket: int = 4000) -> DataFrame:
+def next_row(df: DataFrame, order: str, carried: list[str], derive=lambda d: d, per_bucket: int = 4000) -> DataFrame:
     """Each row with `next_<c>` of the row after it in descending `order` (after the last: the first).
 
     No window over the whole table: rows are dealt into ranges of `order` by sampled bounds,
     `lead` runs inside a range, and a table of one row per range (a few values each) hands
     every range's last row the first row of the next range that has rows. Ties in `order`
     keep an arbitrary but repeatable order (by the carried values). Null `order` comes last.
+    `derive` adds costly columns of a row's own, which may be carried, too.
     """
     n = df.count()
     ranges = max(1, min(10_000, -(-n // per_bucket)))
@@ -69,19 +70,21 @@ def next_row(df: DataFrame, order: str, carried: list[str], per_bucket: int = 40
     if bounds:
         at = F.lit(len(bounds)) - _range_of(F.col(order).cast("double"), bounds)
     at = F.when(F.col(order).isNull(), F.lit(len(bounds) + 1)).otherwise(at)
-    ranged = df.withColumn("__range", at.cast("int"))
+    dealt = df.withColumn("__range", at.cast("int"))
+    ranged = derive(dealt)
     by = [F.col(order).desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in carried)]
     w = Window.partitionBy("__range").orderBy(*by)
     led = ranged.withColumn("__next", F.lead(F.struct(*carried)).over(w)).withColumn("__rn", F.row_number().over(w))
-    heads = ranged.select("__range", F.struct(F.struct((-F.col(order)).alias("k"), *carried).alias("o")).alias("s"))
-    heads = heads.groupBy("__range").agg(F.min("s").alias("s")).select("__range", F.struct(*(F.col(f"s.o.{c}").alias(c) for c in carried)).alias("__head"))
     # One row per range: at most 10,002 rows, a size that does not depend on the documents.
+    firsts = dealt.groupBy("__range").agg(F.max(order).alias("__first"))
+    heads = derive(dealt.join(F.broadcast(firsts), "__range").where(F.col(order).eqNullSafe(F.col("__first"))))
+    heads = heads.groupBy("__range").agg(F.min(F.struct(*carried)).alias("__head"))
     ring = Window.orderBy("__range")
     first = F.first("__head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("__range", F.coalesce(F.lead("__head").over(ring), first).alias("__head"))
     out = led.join(heads, "__range", "left")
     nxt = F.coalesce(F.col("__next"), F.col("__head"))
-    return out.select(*(F.col(c) for c in df.columns), *(nxt[c].alias(f"next_{c}") for c in carried))
+    return out.select(*(F.col(c) for c in ranged.columns if c != "__range"), *(nxt[c].alias(f"next_{c}") for c in carried))
 
 
 def _range_of(x: Column, bounds: list[float]) -> Column:

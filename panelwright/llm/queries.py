@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, rules, substrings
+from . import bpe, fingerprints, mixing, pii, quality, rules, substrings
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.scored(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -37,5 +41,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality, op6_mixing, op8_rules, op9_substrings)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op8_rules, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {"op9_substrings": substrings.SQL}
