@@ -17,8 +17,8 @@ from .common import keep, text_or_empty, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: What rules may test. Ratios of an empty text are 0.
-STATS = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "lines_per_word")
-BINS, MAX_RULES, MAX_CONDITIONS, PRECISION, LEAST_COVER, SAMPLE = 32, 8, 3, 0.95, 10, 20_000
+STATS = ("n_words", "mean_letters", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "lines_per_word")
+BINS, MAX_RULES, MAX_CONDITIONS, PRECISION, LEAST_COVER, SAMPLE = 64, 8, 3, 0.98, 10, 20_000
 
 
 def _windows(words: Column) -> Column:
@@ -53,7 +53,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     d = d.withColumns({
-        "mean_word": over(F.col("word_chars"), F.col("n_words")), "symbol_share": over(F.col("n_symbols"), F.col("word_chars")),
+        "mean_letters": over(F.col("word_chars") - F.col("n_symbols"), F.col("n_words")), "symbol_share": over(F.col("n_symbols"), F.col("word_chars")),
         "dup_line_share": over(F.col("n_dup_lines"), F.size("__l")), "repeat_share": over(F.col("n_repeat_words"), F.col("n_words")),
         "upper_share": over(F.regexp_count(t, F.lit("[A-Z]")), F.col("word_chars")),
         "lines_per_word": over(F.size("__l"), F.size("__w")),
@@ -66,7 +66,7 @@ Condition = tuple[str, str, float]
 
 def condition(c: Condition) -> Column:
     stat, op, at = c
-    return F.col(stat) >= at if op == ">=" else F.col(stat) <= at
+    return F.col(stat) >= at if op == ">=" else F.col(stat) < at
 
 
 def holds(rule: list[Condition]) -> Column:
@@ -76,37 +76,55 @@ def holds(rule: list[Condition]) -> Column:
     return out
 
 
-def _best(rows: DataFrame, taken: list[Condition]) -> tuple[Condition, float] | None:
-    """The condition of greatest FOIL gain on `rows` (stats, bad), from cumulative counts over at most BINS quantiles of each statistic."""
-    cuts = rows.select(*(F.percentile_approx(s, [i / BINS for i in range(1, BINS)], 10_000).alias(s) for s in STATS)).first()
-    if cuts is None or cuts[0] is None:
+def tightest(rule: list[Condition]) -> list[Condition]:
+    """The rule without conditions that another one on the same statistic implies."""
+    best: dict[tuple[str, str], float] = {}
+    for stat, op, at in rule:
+        best[stat, op] = max(best.get((stat, op), at), at) if op == ">=" else min(best.get((stat, op), at), at)
+    return [(stat, op, at) for (stat, op), at in best.items()]
+
+
+def _bin(stat: str, cuts: list[float]) -> Column:
+    """How many of the cuts are at most the statistic."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(stat))) if cuts else F.lit(0)
+
+
+def _best(rows: DataFrame, cuts: dict[str, list[float]], taken: list[Condition]) -> tuple[Condition, float] | None:
+    """The condition of greatest FOIL gain on `rows` (bad, bins), from the counts of each statistic's bins."""
+    long = rows.select("bad", F.explode(F.arrays_zip(F.array(*map(F.lit, STATS)).alias("stat"), F.col("bins").alias("bin"))).alias("x"))
+    counts: dict[str, dict[int, tuple[int, int]]] = {s: {} for s in STATS}
+    for r in long.groupBy("x.stat", "x.bin").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect():
+        counts[r.stat][r.bin] = (r.p, r.n)
+    some = next(iter(counts.values()))
+    p0, n0 = (sum(c[i] for c in some.values()) for i in (0, 1))
+    if not p0:
         return None
-    cols = []
+    base, found = math.log2(p0 / (p0 + n0)), []
     for s in STATS:
-        for v in sorted(set(cuts[s])):
-            for op in (">=", "<="):
-                hit = condition((s, op, float(v)))
-                cols.append(F.struct(F.lit(s).alias("stat"), F.lit(op).alias("op"), F.lit(float(v)).alias("at"), F.count_if(hit & F.col("bad")).alias("p"), F.count_if(hit & ~F.col("bad")).alias("n")))
-    total = rows.agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).first()
-    found = [r for part in range(0, len(cols), 120) for r in rows.agg(F.array(*cols[part : part + 120]).alias("c")).first().c]
-    base = math.log2(total.p / (total.p + total.n))
-    gain = lambda r: r.p * (math.log2(r.p / (r.p + r.n)) - base) if r.p else -1.0
-    found = [r for r in found if (r.stat, r.op, r.at) not in taken]
-    top = max(found, key=lambda r: (round(gain(r), 9), r.stat, r.op, -r.at), default=None)
-    return None if top is None or gain(top) <= 1e-9 else ((top.stat, top.op, top.at), top.p / (top.p + top.n))
+        p, n = 0, 0
+        for k, cut in enumerate(cuts[s]):
+            dp, dn = counts[s].get(k, (0, 0))
+            p, n = p + dp, n + dn
+            for op, a, b in (("<", p, n), (">=", p0 - p, n0 - n)):
+                if a and (s, op, cut) not in taken:
+                    found.append((round(a * (math.log2(a / (a + b)) - base), 6), -STATS.index(s), (s, op, cut), a / (a + b)))
+    top = max(found, default=None)
+    return None if top is None or top[0] <= 0 else top[2:]
 
 
 def learn(labelled: DataFrame) -> list[list[Condition]]:
     """Ordered rules, each a conjunction that marks a text as bad. `labelled` has STATS, a boolean `bad` and a boolean `grow` (two thirds); rules may be none."""
     rules: list[list[Condition]] = []
-    left = labelled
+    found = labelled.select(*(F.percentile_approx(s, [i / BINS for i in range(1, BINS)], 10_000).alias(s) for s in STATS)).first()
+    cuts = {s: sorted(set(found[s] or [])) for s in STATS}
+    left = keep(labelled.withColumn("bins", F.array(*(_bin(s, cuts[s]) for s in STATS))), "rules-bins")
     while len(rules) < MAX_RULES:
         grow, prune = left.where("grow"), left.where("NOT grow")
         if grow.where("bad").limit(LEAST_COVER).count() < LEAST_COVER:
             break
         rule: list[Condition] = []
         rows = grow
-        while len(rule) < MAX_CONDITIONS and (found := _best(rows, rule)):
+        while len(rule) < MAX_CONDITIONS and (found := _best(rows, cuts, rule)):
             rule.append(found[0])
             rows = rows.where(condition(found[0]))
             if found[1] >= 0.999:
@@ -121,7 +139,7 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
         p, n = got[2 * size - 2], got[2 * size - 1]
         if p < LEAST_COVER / 2 or p / (p + n) < PRECISION:
             break
-        rules.append(rule[:size])
+        rules.append(tightest(rule[:size]))
         left = left.where(~holds(rule[:size]))
     return rules
 
