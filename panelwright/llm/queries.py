@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, pii, quality, rules, substrings
+from . import bpe, fingerprints, mixing, near, pii, quality, rules, substrings
 from .common import table
 
 
+def op1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find_pii(docs))
@@ -41,5 +45,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op8_rules, op9_substrings)}
+QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op8_rules, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {"op9_substrings": substrings.SQL}
