@@ -33,12 +33,12 @@ def fit(docs: DataFrame, sample: DataFrame, features, epochs: int = 4, alpha: fl
 
     def made(texts: pa.Array) -> pa.Array:
         of = features()
-        return pa.array([np.concatenate([a.astype("<f8"), b.astype("<f8")]).tobytes() for a, b in (of(t or "") for t in texts.to_pylist())], pa.binary())
+        return pa.array([a.astype("<i4").tobytes() + b.astype("<f4").tobytes() for a, b in (of(t or "") for t in texts.to_pylist())], pa.binary())
 
     def updates(batches):
         z, n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
         rows = sorted((k, y, x) for b in batches for k, y, x in zip(*(b.column(c).to_pylist() for c in ("k", "label", "x"))))
-        rows = [(y, (v := np.frombuffer(x))[: v.size // 2].astype(np.int64), v[v.size // 2 :]) for _, y, x in rows]
+        rows = [(y, np.frombuffer(x[: len(x) // 2], "<i4"), np.frombuffer(x[len(x) // 2 :], "<f4")) for _, y, x in rows]
 
         def weights(i):
             zi = z[i]

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, near, pii, quality, rules, substrings
+from . import bpe, fingerprints, mixing, near, pii, quality, rules, substrings, toxicity
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.scored(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = rules.train(docs, table(spark, sf_dir, "labels"))
@@ -45,5 +50,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op8_rules, op9_substrings)}
+QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op7_toxicity, op8_rules, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {"op9_substrings": substrings.SQL}
