@@ -68,7 +68,7 @@ def next_row(df: DataFrame, order: str, carried: list[str], derive=lambda d: d,
     # Ranges are numbered in descending order of the key: range 0 has the largest keys.
     at = F.lit(0)
     if bounds:
-        at = F.lit(len(bounds)) - _range_of(F.col(order).cast("double"), bounds)
+        at = F.lit(len(bounds)) - range_of(F.col(order).cast("double"), bounds)
     at = F.when(F.col(order).isNull(), F.lit(len(bounds) + 1)).otherwise(at)
     dealt = df.withColumn("__range", at.cast("int"))
     ranged = derive(dealt)
@@ -87,7 +87,7 @@ def next_row(df: DataFrame, order: str, carried: list[str], derive=lambda d: d,
     return out.select(*(F.col(c) for c in ranged.columns if c != "__range"), *(nxt[c].alias(f"next_{c}") for c in carried))
 
 
-def _range_of(x: Column, bounds: list[float]) -> Column:
+def range_of(x: Column, bounds: list) -> Column:
     """How many of the sorted `bounds` are <= x, by halving: log2(len) comparisons."""
     def pick(lo: int, hi: int) -> Column:
         if lo == hi:

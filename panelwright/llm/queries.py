@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, near, pii, quality, rules, substrings, toxicity
+from . import bpe, fingerprints, mixing, near, pages, pii, quality, rules, substrings, toxicity
 from .common import table
 
 
@@ -50,5 +50,9 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op7_toxicity, op8_rules, op9_substrings)}
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op7_toxicity, op8_rules, op9_substrings, op10_pages)}
 ORACLE_SQL: dict[str, str] = {"op9_substrings": substrings.SQL}
