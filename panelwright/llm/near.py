@@ -28,19 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches
-from .substrings import A, Hashes, grams, mixed
+from .wordhash import A, WordHashes, grams, mixed
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 HASHES, BANDS, STEP = 128, 32, 16
 TILE, TILE_CHARS = 512, 4_000_000
 
 
-def shingles(words: list[bytes], hashes: dict, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.asarray([hashes[w] for w in words], np.uint64)
-    return np.unique(mixed(grams(h, min(n, len(h)), A)))
+def shingles(h: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles of word hashes."""
+    return np.unique(mixed(grams(h, min(n, len(h)), A))) if len(h) else h
 
 
 def multipliers() -> np.ndarray:
@@ -140,15 +137,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     def signed(batches):
         import xxhash
 
-        hashes, a = Hashes(), multipliers()
+        hashes, a = WordHashes(), multipliers()
         for b in batches:
-            same, sig, chars = [], [], []
-            for t in b.column("text").to_pylist():
-                raw = (t or "").encode()
-                x = shingles(raw.split(), hashes)
-                same.append(xxhash.xxh3_128_digest(raw))
-                sig.append(signature(x, a).tobytes() if len(x) else None)
-                chars.append(len(raw))
+            raw = [(t or "").encode() for t in b.column("text").to_pylist()]
+            found = map(shingles, hashes.of(b.column("text")))
+            sig = [signature(x, a).tobytes() if len(x) else None for x in found]
+            same, chars = [xxhash.xxh3_128_digest(t) for t in raw], list(map(len, raw))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(chars, pa.int64())], ["key", "same", "sig", "chars"])
 
     signatures = keep(docs.mapInArrow(signed, "key long, same binary, sig binary, chars long"), "near-signatures")
@@ -184,8 +178,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     def verify(table):
         keys, tile, weight = (table.column(c).to_numpy() for c in ("key", "tile", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        hashes = Hashes()
-        found = [shingles((t or "").encode().split(), hashes) for t in table.column("text").to_pylist()]
+        hashes = WordHashes()
+        found = [shingles(h) for part in table.column("text").chunks for h in hashes.of(part)]
         ids = np.unique(np.concatenate(found), return_inverse=True)[1]
         size = np.asarray([len(x) for x in found])
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])

@@ -22,59 +22,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches
+from .wordhash import A, WordHashes, grams, mixed
 
+#: Words of a window and of a seed; a window has at most 32 seeds.
 WINDOW, GRAM = 20, 8
-A = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(6)]
+#: Multipliers of the second hash of windows.
 B = [np.uint64(pow(0xC2B2AE3D27D4EB4F, 1 << i, 1 << 64)) for i in range(6)]
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def grams(h: np.ndarray, n: int, powers: list) -> np.ndarray:
-    """Polynomial hashes of all n-word grams of word hashes, from those of 1, 2, 4, ... words."""
-    parts, p, size, out, have = [], h, 1, None, 0
-    for i in range(n.bit_length()):
-        if n >> i & 1:
-            parts.append((size, p))
-        if size * 2 <= n and len(p) > size:
-            p = p[: len(p) - size] * powers[i] + p[size:]
+def running_minima(v: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n consecutive values, from those of 1, 2, 4, ... values."""
+    size = 1
+    while size * 2 <= n:
+        v = np.minimum(v[:-size], v[size:])
         size *= 2
-    for size, p in reversed(parts):
-        if out is None:
-            out, have = p, size
-        else:
-            m = len(h) - have - size + 1
-            out = out[:m] * powers[size.bit_length() - 1] + p[have : have + m]
-            have += size
-    return out
+    return np.minimum(v[: len(v) - (n - size)], v[n - size :]) if size < n else v
 
 
-def minima(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the grams, and for each window the place of its minimal gram."""
-    v = mixed(grams(h, gram, A))
-    view = np.lib.stride_tricks.sliding_window_view(v, window - gram + 1)
-    return v, np.arange(len(view)) + view.argmin(axis=1)
+def minima(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the hash of its minimal gram (59 bits, above 5 of 0), that gram's place (mod 32), and whether the window has it twice."""
+    v = mixed(grams(h, gram, A)) & ~np.uint64(31)
+    place = np.arange(len(v), dtype=np.uint64) & np.uint64(31)
+    low, high = (running_minima(v | p, window - gram + 1) for p in (place, np.uint64(31) - place))
+    return low & ~np.uint64(31), low & np.uint64(31), (low & np.uint64(31)) != np.uint64(31) - (high & np.uint64(31))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -85,18 +61,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """(key, n_words, n_removed, kept, factors) of every row: the kept words joined by one space, and the factors as (start, n_words)."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    gram = min(GRAM, window)
+    gram = max(min(GRAM, window), window - 31)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def seeds(batches):
-        hashes = Hashes()
+        hashes = WordHashes()
         for b in batches:
             keys, found = [], []
-            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-                words = _words(t)
-                if k is not None and len(words) >= window:
-                    v, at = minima(np.asarray([hashes[w] for w in words], np.uint64), window, gram)
-                    u, n = np.unique(v[np.unique(at)], return_counts=True)
+            for k, h in zip(b.column("key").to_pylist(), hashes.of(b.column("text"))):
+                if k is not None and len(h) >= window:
+                    low, at, twice = minima(h, window, gram)
+                    new = np.concatenate([[True], (at[1:] != at[:-1]) | (low[1:] != low[:-1])])
+                    u, n = np.unique(low[new], return_counts=True)
+                    n[np.searchsorted(u, np.unique(low[twice]))] += 1
                     keys.append(np.full(len(u), k))
                     found.append((u.view(np.int64), n))
             if keys:
@@ -111,15 +88,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def windows(batches):
         """Of each block of documents: windows to look up in other blocks, and starts of those with an earlier one in this block."""
-        hashes = Hashes()
+        hashes = WordHashes()
 
         def block(rows):
             rows.sort(key=lambda r: r[0])
             w1, w2, doc, start = [], [], [], []
-            for i, (_, t, known) in enumerate(rows):
-                h = np.asarray([hashes[w] for w in _words(t)], np.uint64)
-                v, at = minima(h, window, gram)
-                s = np.flatnonzero(np.isin(v[at], np.asarray(known, np.int64).view(np.uint64)))
+            for i, (_, h, known) in enumerate(rows):
+                low, _, _ = minima(h, window, gram)
+                s = np.flatnonzero(np.isin(low, known.view(np.uint64)))
                 w1.append(mixed(grams(h, window, A))[s])
                 w2.append((mixed(grams(mixed(h), window, B))[s] >> np.uint64(33)).astype(np.int64))
                 doc.append(np.full(len(s), i))
@@ -145,11 +121,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
         rows, size = [], 0
         for b in batches:
-            for k, t, known in zip(*(b.column(c).to_pylist() for c in ("key", "text", "grams"))):
-                if known:
-                    rows.append((k, t, known))
-                    size += len(t)
-            if size > 8_000_000:
+            some = b.filter(pa.compute.is_valid(b.column("grams")))
+            for k, h, known in zip(some.column("key").to_pylist(), hashes.of(some.column("text")), some.column("grams")):
+                rows.append((k, h, known.values.to_numpy()))
+                size += len(h)
+            if size > 1_500_000:
                 yield from block(rows)
                 rows, size = [], 0
         if rows:
