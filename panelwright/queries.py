@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import panel_queries
 from .operators.features import FEATURES
 from .operators.spec import Stages
 from .sources.fixtures import CTES, TABLES
@@ -31,5 +32,5 @@ def _sql(spec: Stages) -> str:
 
 
 SPECS: dict[str, Stages] = {name: make() for name, make in FEATURES.items()}
-QUERIES: dict[str, Query] = {name: _query(spec) for name, spec in SPECS.items()}
-ORACLE_SQL: dict[str, str] = {name: _sql(spec) for name, spec in SPECS.items()}
+QUERIES: dict[str, Query] = {name: _query(spec) for name, spec in SPECS.items()} | panel_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {name: _sql(spec) for name, spec in SPECS.items()} | panel_queries.ORACLE_SQL
