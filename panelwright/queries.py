@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import panel_queries
 from .operators.features import FEATURES
+from .operators.scores import SCORES
 from .operators.spec import Stages
 from .sources.fixtures import CTES, TABLES
 
@@ -31,6 +32,6 @@ def _sql(spec: Stages) -> str:
     return f"WITH {SOURCE_SQL[spec.source]},\n{spec.sql(spec.source)}" if spec.stages else f"WITH {SOURCE_SQL[spec.source]}\n{spec.sql(spec.source)}"
 
 
-SPECS: dict[str, Stages] = {name: make() for name, make in FEATURES.items()}
+SPECS: dict[str, Stages] = {name: make() for name, make in {**FEATURES, **SCORES}.items()}
 QUERIES: dict[str, Query] = {name: _query(spec) for name, spec in SPECS.items()} | panel_queries.QUERIES
 ORACLE_SQL: dict[str, str] = {name: _sql(spec) for name, spec in SPECS.items()} | panel_queries.ORACLE_SQL
