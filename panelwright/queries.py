@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import panel_queries
+from . import more_queries, panel_queries
 from .operators.features import FEATURES
 from .operators.scores import SCORES
 from .operators.spec import Stages
@@ -33,5 +33,5 @@ def _sql(spec: Stages) -> str:
 
 
 SPECS: dict[str, Stages] = {name: make() for name, make in {**FEATURES, **SCORES}.items()}
-QUERIES: dict[str, Query] = {name: _query(spec) for name, spec in SPECS.items()} | panel_queries.QUERIES
-ORACLE_SQL: dict[str, str] = {name: _sql(spec) for name, spec in SPECS.items()} | panel_queries.ORACLE_SQL
+QUERIES: dict[str, Query] = {name: _query(spec) for name, spec in SPECS.items()} | panel_queries.QUERIES | more_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {name: _sql(spec) for name, spec in SPECS.items()} | panel_queries.ORACLE_SQL | more_queries.ORACLE_SQL
