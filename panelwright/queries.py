@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import more_queries, panel_queries
+from . import more_queries, panel_queries, segment_queries  # noqa: F401  (registers its queries with panel_queries)
 from .operators.features import FEATURES
 from .operators.scores import SCORES
 from .operators.spec import Stages
