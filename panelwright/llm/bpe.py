@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are dealt into blocks of about `block_chars` code points. A block's words (the pieces
-of the tokenizer's own split pattern) are gathered once each, dealt by word hash, and every
-bucket of words encodes each distinct word once, whatever number of blocks holds it. The ids
-go back to the blocks that asked and are joined to the words by position. Neither step holds
-more than a block or a bucket, and both sizes are set by the data's size, not by its keys.
+Each partition's rows are taken in blocks of about `block_chars` bytes. A block's distinct words (a
+space and what follows it up to the next one; where white space meets, the pieces of the
+tokenizer's own split pattern) are dealt by word hash, and every bucket of words
+encodes each distinct word once, whatever number of blocks holds it. The ids go back to
+the blocks that asked and are joined to the words by position. No step holds more than a
+block or a bucket, and their sizes depend on the amount of data in a partition, not on keys.
 
 Results equal the tokenizers library's on whole texts, special tokens in the text included.
 Null texts are empty and have no ids; repeated rows are encoded like any other.
@@ -23,6 +24,10 @@ BLANK = "\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 
 
+#: The same pattern for a library whose white space is that of Unicode.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -30,11 +35,10 @@ def default_path() -> str:
 
 
 class Splitter:
-    """Splits texts into chunks that can be split into words and encoded on their own.
+    """Splits texts at single spaces into words that are encoded alike whatever is around them.
 
-    A chunk is a space and what follows it up to the next space: the pattern never joins
-    what is on two sides of a space, unless runs of white space meet there; such texts
-    are one chunk per word of the pattern. Special tokens are chunks of their own.
+    The pattern never joins what is on two sides of a space unless runs of white space meet
+    there; texts with such runs, and texts with special tokens, are split by the pattern at once.
     """
 
     def __init__(self, special: list[str]):
@@ -45,119 +49,182 @@ class Splitter:
         self.words = regex.compile(SPLIT).findall
         self.special = frozenset(special)
         self.around = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.runs = re.compile(f"[{BLANK}] (?:[{BLANK}]|$)")
-
-    def chunks(self, text: str) -> list[str]:
-        if self.around and any(s in text for s in self.special):
-            return [c for part in self.around.split(text) if part for c in ([part] if part in self.special else self._chunks(part))]
-        return self._chunks(text) if text else []
+        self.runs = re.compile(f"[{BLANK}] (?:[{BLANK}]|$)").search
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.runs.search(text):
-            return self.words(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + c for c in rest]
+    def simple(self, text: str) -> bool:
+        if any(s in text for s in self.special):
+            return False
+        if text.isascii() and not any(b in text for b in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")):
+            return True
+        return not self.runs(text)
 
-    def pieces(self, chunk: str) -> list[str]:
-        return [chunk] if chunk in self.special else self.words(chunk)
+    def pieces(self, text: str) -> list[str]:
+        """The words of any text, special tokens as they are."""
+        parts = self.around.split(text) if self.around else [text]
+        return [w for part in parts if part for w in ([part] if part in self.special else self.words(part))]
 
 
-def specials(path: str) -> list[str]:
+def specials(path: str) -> dict[str, int]:
     import json
 
     with open(path, encoding="utf-8") as f:
-        return [t["content"] for t in json.load(f)["added_tokens"]]
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str):
+    """A callable word -> ids. The vocabulary's ids are in the order of its merges, so they serve as ranks."""
+    import tiktoken
+
+    known = specials(path).values()
+    ranks = {piece: i for i, piece in enumerate(pieces_of(path)) if i not in known}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def squeezed(table: pa.Table) -> bytes:
+    """A table as one compressed Arrow stream, to shuffle fewer bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def opened(stream: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stream).read_all()
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", block_chars: int = 16_000_000) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", decoded: str | None = None, block_chars: int = 16_000_000) -> DataFrame:
     """`df` with array<int> `into`: the ids of each row's whole text. The file at `path` has to be on every executor.
 
-    A column already named `into` is replaced; other columns and all rows stay.
+    `df` is read twice and has to come in the same partitions both times, as tables do (write
+    other plans to one first); a difference ends in an error, never in wrong ids. Columns
+    already named `into` or `decoded` are replaced; other columns and all rows stay. With
+    `decoded`, what `decode` makes of the ids is added in the same pass.
     """
     path = path or default_path()
-    spark = df.sparkSession
-    small_batches(spark, 500)
-    total = df.agg(F.sum(F.length(text))).first()[0] or 0
-    blocks = max(4, -(-total // block_chars))
-    buckets = 2 * blocks
-    key = F.xxhash64(*(F.col(c) for c, kind in df.dtypes if c != into and not kind.startswith("map")))
-    rest = [c for c in df.columns if c != into]
-    blocked = df.select(F.pmod(key, F.lit(blocks)).cast("int").alias("__block"), *rest)
-    special = specials(path)
-
-    def gather(key, group):
-        import zlib
-
-        split, seen = Splitter(special), set()
-        for part in group.column(text).chunks:
-            for t in part.to_pylist():
-                if t:
-                    seen.update(split.chunks(t))
-        dealt: dict[int, list[str]] = {}
-        for w in sorted({p for c in seen for p in split.pieces(c)}):
-            dealt.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
-        n = len(dealt)
-        return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(list(dealt), pa.int32()), pa.array(list(dealt.values()), pa.list_(pa.string()))], ["__block", "bucket", "words"])
+    small_batches(df.sparkSession, 500)
+    df = df.drop(into, *([decoded] if decoded else []))
+    buckets = max(8, 2 * df.rdd.getNumPartitions())
+    special_ids = specials(path)
+    special = list(special_ids)
+    pieces = pieces_of(path) if decoded else []
+
+    def runs(batches):
+        """(block, batches) for every run of about block_chars code points of a partition."""
+        from pyspark import TaskContext
+
+        part, n, size, held = TaskContext.get().partitionId(), 0, 0, []
+        for b in batches:
+            held.append(b)
+            size += b.column(text).nbytes
+            if size >= block_chars:
+                yield part << 24 | n, held
+                n, size, held = n + 1, 0, []
+        if held:
+            yield part << 24 | n, held
+
+    def dealt(held) -> list[list[str]]:
+        """The distinct words of a run by bucket, in the order of their hashes."""
+        import numpy as np
+        import xxhash
+
+        split, spaced, plain = Splitter(special), set(), set()
+        for b in held:
+            for t in b.column(text).to_pylist():
+                if not t:
+                    pass
+                elif split.simple(t):
+                    first, *more = t.split(" ")
+                    plain.add(first)
+                    spaced.update(more)
+                else:
+                    plain.update(split.pieces(t))
+        plain.discard("")
+        plain.update([" " + c for c in spaced])
+        words = list(plain)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes, kind="stable")
+        if len(words) > 1 and (np.diff(hashes[order]) == 0).any():  # no order by hash: by text
+            order = np.asarray(sorted(range(len(words)), key=words.__getitem__))
+        out: list[list[str]] = [[] for _ in range(buckets)]
+        for i, bucket in zip(order.tolist(), (hashes[order] % np.uint64(buckets)).tolist()):
+            out[bucket].append(words[i])
+        return out
+
+    def gather(batches):
+        for block, held in runs(batches):
+            words = dealt(held)
+            at = [i for i, ws in enumerate(words) if ws]
+            blobs = [squeezed(pa.table({"w": pa.array(words[i], pa.string())})) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "words"])
+
+    def pack(batches):
+        for block, held in runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([squeezed(pa.Table.from_batches(held))], pa.binary())], ["block", "rows"])
+
+    loaded: list = []
 
     def encode_words(group):
         import numpy as np
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_padding()
-        tok.no_truncation()
-        asked = group.column("words").to_pylist()
-        distinct = sorted({w for words in asked for w in words})
-        ids: dict[str, bytes] = {}
-        for i in range(0, len(distinct), 20_000):
-            part = distinct[i : i + 20_000]
-            ids |= {w: np.asarray(e.ids, "<i4").tobytes() for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False))}
-        counts, flat = [], []
-        for words in asked:
-            got = [ids[w] for w in words]
-            counts.append(np.asarray([len(g) // 4 for g in got], "<i4"))
-            flat.append(np.frombuffer(b"".join(got), "<i4"))
-        largest = lambda parts: max((int(p.max()) for p in parts if p.size), default=0)
-        count_type, id_type = "u1" if largest(counts) < 256 else "<i4", "<u2" if largest(flat) < 65536 else "<i4"
-        packed = lambda parts, kind: pa.array([p.astype(kind).tobytes() for p in parts], pa.binary())
-        n = len(asked)
-        return pa.table([group.column("__block"), group.column("words"), packed(counts, count_type), packed(flat, id_type), pa.array([count_type] * n), pa.array([id_type] * n)], ["__block", "words", "counts", "ids", "count_type", "id_type"])
-
-    words = blocked.select("__block", text).groupBy("__block").applyInArrow(gather, "__block int, bucket int, words array<string>")
-    coded = words.groupBy("bucket").applyInArrow(encode_words, "__block int, words array<string>, counts binary, ids binary, count_type string, id_type string")
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != into) + f", `{into}` array<int>"
+
+        if not loaded:
+            loaded.append(encoder(path))
+        asked = [opened(x).column("w").to_pylist() for x in group.column("words").to_pylist()]
+        words = list(dict.fromkeys(w for ws in asked for w in ws))
+        ids = {w: [special_ids[w]] if w in special_ids else loaded[0](w) for w in words}
+        blobs = []
+        for ws in asked:
+            got = [ids[w] for w in ws]
+            counts, flat = np.fromiter(map(len, got), np.int32, len(got)), np.asarray([i for g in got for i in g], np.int32)
+            narrow = lambda x: x.astype(np.uint16) if not x.size or x.max() < 65536 else x
+            blobs.append(squeezed(pa.table({"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(narrow(flat)))})))
+        return pa.table([group.column("block"), group.column("bucket"), pa.array(blobs, pa.binary())], ["block", "bucket", "ids"])
+
+    columns = df.columns
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{into}` array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def by_position(left, right):
         import numpy as np
 
-        known: dict[str, bytes] = {}
-        for r in right.to_pylist():
-            flat = np.frombuffer(r["ids"], r["id_type"]).astype("<i4").tobytes()
-            at = 0
-            for w, n in zip(r["words"], np.frombuffer(r["counts"], r["count_type"]).tolist()):
-                known[w] = flat[at : at + 4 * n]
-                at += 4 * n
-        split = Splitter(special)
-        chunk_ids: dict[str, bytes] = {}
-
-        def of(chunk: str) -> bytes:
-            found = chunk_ids.get(chunk)
-            if found is None:
-                found = chunk_ids[chunk] = b"".join([known[p] for p in split.pieces(chunk)])
-            return found
-
+        rows = opened(left.column("rows")[0].as_py())
+        held = rows.to_batches(max_chunksize=1000)
+        coded = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))
+        spaced: dict[str, bytes] = {}
+        plain: dict[str, bytes] = {}
+        for bucket, words in enumerate(dealt(held)):
+            if words:
+                found = opened(coded.pop(bucket)).column("ids").combine_chunks()
+                flat, at = found.values.to_numpy().astype("<i4").tobytes(), (4 * found.offsets.to_numpy().astype(np.int64)).tolist()
+                for w, x, y in zip(words, at[:-1], at[1:], strict=True):
+                    if w[0] == " ":
+                        spaced[w[1:]] = flat[x:y]
+                    else:
+                        plain[w] = flat[x:y]
+        split, of = Splitter(special), spaced.__getitem__
         parts = []
-        for b in left.to_batches():
+        for b in held:
             offsets, flat = [0], []
             for t in b.column(text).to_pylist():
-                got = b"".join([of(c) for c in split.chunks(t)]) if t else b""
+                if not t:
+                    got = b""
+                elif split.simple(t):
+                    first, *more = t.split(" ")
+                    got = (plain[first] if first else b"") + b"".join(map(of, more))
+                else:
+                    got = b"".join([of(w[1:]) if w[0] == " " else plain[w] for w in split.pieces(t)])
                 flat.append(got)
                 offsets.append(offsets[-1] + len(got) // 4)
             values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(flat))])
             parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
-        return left.select(rest).append_column(into, pa.chunked_array(parts, pa.list_(pa.int32())))
+        out = pa.Table.from_batches(held, rows.schema).select(columns).append_column(into, pa.chunked_array(parts, pa.list_(pa.int32())))
+        if decoded:
+            join = joiner(pieces)
+            out = out.append_column(decoded, pa.chunked_array([join(p) for p in parts], pa.string()))
+        return out
 
-    return blocked.groupBy("__block").cogroup(coded.groupBy("__block")).applyInArrow(by_position, out_schema)
+    words = df.mapInArrow(gather, "block long, bucket int, words binary")
+    coded = words.groupBy("bucket").applyInArrow(encode_words, "block long, bucket int, ids binary")
+    packed = df.mapInArrow(pack, "block long, rows binary")
+    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(by_position, out_schema)
 
 
 def pieces_of(path: str) -> list[bytes]:
@@ -175,6 +242,32 @@ def pieces_of(path: str) -> list[bytes]:
     return table
 
 
+def joiner(table: list[bytes]):
+    """A callable array of ids -> array of texts: every id's piece looked up in the table and joined by position."""
+    import numpy as np
+
+    lengths, joined = np.asarray([len(p) for p in table]), np.frombuffer(b"".join(table), np.uint8)
+    starts = (np.concatenate([[0], np.cumsum(lengths)[:-1]])).astype(np.int32)
+    lengths = lengths.astype(np.int32)
+
+    def texts(column: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(column), 50):
+            part = column[i : i + 50]
+            ids, counts = part.flatten().to_numpy(), pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy()
+            n = lengths[ids]
+            ends = np.zeros(len(n) + 1, np.int32)
+            np.cumsum(n, out=ends[1:])
+            at = np.arange(ends[-1], dtype=np.int32)
+            at += np.repeat(starts[ids] - ends[:-1], n)
+            found = joined[at].tobytes()
+            cut = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            out += [found[a:b].decode(errors="replace") for a, b in zip(cut[:-1], cut[1:])]
+        return pa.array(out, pa.string())
+
+    return texts
+
+
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """`df` with string `into`: each row's ids looked up in the id-to-piece table and joined, special tokens kept.
 
@@ -183,12 +276,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", into: str =
     table = pieces_of(path or default_path())
 
     def pieces(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_pylist()
-        out, at = [], 0
-        for n in (0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()):
-            out.append(b"".join([table[i] for i in flat[at : at + n]]).decode(errors="replace"))
-            at += n
-        return pa.array(out, pa.string())
+        return joiner(table)(column)
 
     return df.withColumn(into, F.arrow_udf(pieces, "string")(F.col(ids)))
 

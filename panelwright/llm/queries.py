@@ -18,7 +18,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.decode(bpe.encode(docs).select("doc_id", "ids")))
+    return bpe.digest(bpe.encode(docs, decoded="decoded"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
