@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to, for every row."""
-    return bpe.digest(bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids")))
+    return bpe.digest(bpe.encode(docs.select("doc_id", "text"), decoded="decoded"))
 
 
 STAGES = [
