@@ -37,7 +37,11 @@ def roll(agg: str, x: str, n: int, min_rows: int | None = None, frame: str | Non
 def roll2(agg: str, y: str, x: str, n: int) -> str:
     """A two-argument aggregate over the last n rows, NULL until n rows have both."""
     f = over(back(n))
-    return f"(CASE WHEN count({y} + {x}) {f} >= {n} THEN {agg}({y}, {x}) {f} END)"
+    if agg == "corr":  # which fails on a constant input; null here
+        value = f"covar_pop({y}, {x}) {f} / nullif(round(stddev_pop({y}) {f} * stddev_pop({x}) {f}, 12), 0)"
+    else:
+        value = f"{agg}({y}, {x}) {f}"
+    return f"(CASE WHEN count({y} + {x}) {f} >= {n} THEN {value} END)"
 
 
 def lag(x: str, n: int = 1) -> str:

@@ -145,7 +145,8 @@ def information_coefficients(d: DataFrame, factors: list[str], labels: list[str]
     long = d.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     keys = ["factor", "label", *by]
     ranked = long.withColumns({"rx": average_rank("x", keys), "ry": average_rank("y", keys)})
-    safe = lambda a, b: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    # corr() fails on a constant input; this is null there.
+    safe = lambda a, b: F.covar_pop(a, b) / F.nullif(F.round(F.stddev_pop(a) * F.stddev_pop(b), 12), F.lit(0.0))
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe("x", "y").alias("ic"), safe("rx", "ry").alias("rank_ic"))
 
 

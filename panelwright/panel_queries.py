@@ -257,7 +257,7 @@ def ev03_monthly_ic(spark, sf_dir):
 
 
 _LONG = " UNION ALL ".join(f"SELECT CAST(date_trunc('month', trade_date) AS DATE) AS month, '{f}' AS factor, {f} AS x, {rounded('r_20', 9)} AS y FROM facts" for f in ("bias", "place", "surge"))
-ORACLE_SQL["ev03_monthly_ic"] = doubles(f"WITH {CTES['panel']},\n{FACTS}, ok AS (SELECT * FROM ({_LONG}) WHERE x IS NOT NULL AND y IS NOT NULL), rk AS (SELECT *, rank() OVER (PARTITION BY factor, month ORDER BY x) + (count(*) OVER (PARTITION BY factor, month, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY factor, month ORDER BY y) + (count(*) OVER (PARTITION BY factor, month, y) - 1) / 2 AS ry FROM ok) SELECT factor, month, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN {rounded('corr(x, y)', DIGITS)} END AS ic, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN {rounded('corr(rx, ry)', DIGITS)} END AS rank_ic FROM rk GROUP BY factor, month")
+ORACLE_SQL["ev03_monthly_ic"] = doubles(f"WITH {CTES['panel']},\n{FACTS}, ok AS (SELECT * FROM ({_LONG}) WHERE x IS NOT NULL AND y IS NOT NULL), rk AS (SELECT *, rank() OVER (PARTITION BY factor, month ORDER BY x) + (count(*) OVER (PARTITION BY factor, month, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY factor, month ORDER BY y) + (count(*) OVER (PARTITION BY factor, month, y) - 1) / 2 AS ry FROM ok) SELECT factor, month, count(*) AS n, {rounded('(covar_pop(x, y) / nullif(round(stddev_pop(x) * stddev_pop(y), 12), 0))', DIGITS)} AS ic, {rounded('(covar_pop(rx, ry) / nullif(round(stddev_pop(rx) * stddev_pop(ry), 12), 0))', DIGITS)} AS rank_ic FROM rk GROUP BY factor, month")
 
 
 @query(f"{FACTS}, b AS (SELECT industry, bias, CAST(r_20 > 0 AS INTEGER) AS y FROM facts WHERE r_20 IS NOT NULL AND bias IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY industry ORDER BY bias) + (count(*) OVER (PARTITION BY industry, bias) - 1) / 2 AS rk FROM b) SELECT industry, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, {{(sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc}} FROM k GROUP BY industry", "panel")

@@ -61,9 +61,9 @@ def ev01_ic_matrix(spark, sf_dir):
     return facts(spark, sf_dir).agg(*(F.corr(f, f"r_{h}").alias(f"{f}_{h}") for f in ("bias", "place", "surge") for h in (5, 10, 20)))
 
 
-@query(f"{FACTS}, d AS (SELECT trade_date, CASE WHEN stddev_pop(bias) > 0 AND stddev_pop(r_20) > 0 THEN corr(bias, r_20) END AS ic FROM facts WHERE r_20 IS NOT NULL GROUP BY trade_date HAVING count(*) >= 10) SELECT count(ic) AS dates, {{avg(ic) AS mean}}, {{stddev_samp(ic) AS sd}}, {{avg(ic) / nullif(stddev_samp(ic), 0.0) AS icir}} FROM d", "panel")
+@query(f"{FACTS}, d AS (SELECT trade_date, covar_pop(bias, r_20) / nullif(round(stddev_pop(bias) * stddev_pop(r_20), 12), 0) AS ic FROM facts WHERE r_20 IS NOT NULL GROUP BY trade_date HAVING count(*) >= 10) SELECT count(ic) AS dates, {{avg(ic) AS mean}}, {{stddev_samp(ic) AS sd}}, {{avg(ic) / nullif(stddev_samp(ic), 0.0) AS icir}} FROM d", "panel")
 def ev05_icir(spark, sf_dir):
-    d = facts(spark, sf_dir).where("r_20 IS NOT NULL").groupBy("trade_date").agg(F.when((F.stddev_pop("bias") > 0) & (F.stddev_pop("r_20") > 0), F.corr("bias", "r_20")).alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    d = facts(spark, sf_dir).where("r_20 IS NOT NULL").groupBy("trade_date").agg((F.covar_pop("bias", "r_20") / F.nullif(F.round(F.stddev_pop("bias") * F.stddev_pop("r_20"), 12), F.lit(0.0))).alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")
     return d.agg(F.count("ic").alias("dates"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0))).alias("icir"))
 
 
