@@ -173,7 +173,10 @@ def restorer(model: np.ndarray):
     def of(text: str) -> str:
         if not disguised(text, table):
             return text
-        text = SPACED.sub(decoder.spaced, RUNS.sub("", text))
+        text = RUNS.sub("", text)
+        if not disguised(text, table):
+            return text
+        text = SPACED.sub(decoder.spaced, text)
         return re.sub(r"\S+", lambda m: decoder.restore(m[0]), text)
 
     return of
@@ -187,10 +190,12 @@ def features(model: np.ndarray):
 
         restore, known = restorer(model), {}
 
+        hashed = xxhash.xxh3_64_intdigest
+
         def slots_of(word: str) -> list[int]:
-            parts = [word] * (len(word) <= 7) + [f"{word[:n]}-" for n in (5, 6, 7) if len(word) >= n]
-            h = np.asarray([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64)
-            return linear.slots(h, 11).astype(np.int64).tolist()
+            n = len(word)
+            out = [hashed(word, 11) >> (64 - linear.BITS)] if n <= 7 else []
+            return out + [hashed(word[:k], 12) >> (64 - linear.BITS) for k in (5, 6, 7) if n >= k]
 
         def of(text: str) -> tuple[np.ndarray, np.ndarray]:
             words = set(WORDS.findall(restore(text).lower()))
