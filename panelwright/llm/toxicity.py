@@ -1,11 +1,12 @@
 """Toxicity: a noisy channel restores disguised words, a classifier scores the restored text.
 
 1. A character language model: trigram counts over the words of all documents.
-2. Tokens that look disguised (digits or symbols among letters, letters repeated three times or
-   more, letters one by one between separators) become lattices: every character may stand
-   for the letters it imitates, for itself, or for nothing (separators, repetitions), each at a
-   cost. The Viterbi path of least cost under channel and language model is the restored word.
-   Other tokens have one path only and stay.
+2. Tokens become lattices: every character may stand for the letters it imitates, for itself, or
+   for nothing (separators, repetitions), each at a cost. The Viterbi path of least cost under
+   channel and language model is the restored word. Tokens of any length are read; they are split
+   at punctuation that is no imitation, what stands at a piece's edges stays, and so do pieces
+   without any letter. Letters one by one between separators are one word. Tokens without
+   digits, symbols, separators or repeated letters have one path only and skip the lattice.
 3. Hashed presence of restored words and of their beginnings, in one or in several words, scored by a logistic regression.
 
 An empty or null text scores the bias alone.
@@ -33,8 +34,16 @@ SEPARATORS = " .-_*'"
 #: Costs in nats: an imitation, a dropped separator, a dropped repetition (of two, of more), a character kept that is no letter.
 IMITATES, DROPS, HALVES, SHORTENS, KEEPS = 0.7, 0.5, 4.0, 0.3, 6.0
 CLASSES = 64
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
-RUNS = re.compile(r"([^\w\s])\1+")
+#: What is taken off both ends of a piece before it is restored, with symbols three times or more.
+EDGES = ".,;:?!\"'()[]{}<>-_*#%&~`"
+RAGGED = re.compile(rf"^(?:[{re.escape(EDGES)}]|([^\w\s])\1\1+)+|(?:[{re.escape(EDGES)}]|([^\w\s])\2\2+)+$")
+IMITATIONS = "".join(re.escape(c) for c in LEET if not c.isalnum())
+#: Four or more letters or imitations one by one between separators.
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{IMITATIONS}])(?:[ .\-_*](?:[^\W_]|[{IMITATIONS}])){{3,}}(?![^\W_])")
+#: What viterbi() can read: letters, imitations, separators; a token is split at anything else.
+PIECES = re.compile(rf"(?:[^\W_]|[{IMITATIONS}{re.escape(SEPARATORS)}])+")
+#: Where viterbi() has more than one option: an imitation, a separator, a letter repeated.
+FORKS = re.compile(rf"[{IMITATIONS}0-9{re.escape(SEPARATORS.strip())}]|([^\W\d_])\1", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -91,6 +100,7 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.cost = model
+        self.price = model.ravel().tolist()
         self.known: dict[str, str] = {}
 
     def restore(self, token: str) -> str:
@@ -98,72 +108,83 @@ class Decoder:
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            found = self.known[token] = self._restore(token)
+            found = self.known[token] = PIECES.sub(self._piece, token) if FORKS.search(token) else token
         return found
 
-    def _restore(self, token: str) -> str:
-        core = token.strip(".,;:?!\"'()[]{}<>-_*#%&~`")
-        letters = sum(c.isalpha() for c in core)
-        odd = sum(c in LEET for c in core)
-        if letters + odd < 3 or letters < 2 or odd > letters + 1 or len(core) > 40 or any(not (c.isalpha() or c in LEET or c in SEPARATORS) for c in core):
-            return token
-        if not odd and not re.search(r"([^\W\d_])\1\1", core):
-            return token
-        return token.replace(core, self.viterbi(core.lower()))
+    def _piece(self, match: re.Match) -> str:
+        """A part of a token between other punctuation; what it has at its edges stays."""
+        piece = match[0]
+        core = RAGGED.sub("", piece)
+        if not FORKS.search(core) or not any(map(str.isalpha, core)):
+            return piece
+        seen, at = core.lower(), piece.index(core)
+        made = self.viterbi(seen)
+        return piece if made == seen else piece[:at] + made + piece[at + len(core) :]
 
     def spaced(self, match: re.Match) -> str:
         s = match[0]
-        return self.viterbi(s.lower()) if len(set(s)) > 3 else s
-
-    def viterbi(self, seen: str) -> str:
-        """The string of letters of least channel and language-model cost."""
-        states = {(0, 0): (0.0, "")}
-        for m in re.finditer(r"(.)\1*", seen, re.S):
-            c, n = m[1], len(m[0])
-            options: list[tuple[str, float]] = []
+        return self.viterbi(s.lower(), apart=False) if len(set(s)) > 3 and any(map(str.isalpha, s)) else s
+
+    def viterbi(self, seen: str, apart: bool = True) -> str:
+        """The string of letters of least channel and language-model cost; with `apart`, separators may stay and end a word."""
+        price = self.price
+        groups = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", seen, re.S)]
+        # By place, the states (last two classes, as one number) with cost and path (path before, string).
+        states: list[dict[int, tuple[float, tuple | None]]] = [{0: (0.0, None)}] + [{} for _ in groups]
+        for i, (c, n) in enumerate(groups):
+            options: list[tuple[str, float, int]] = []
             if c.isalpha():
-                options.append((c * min(n, 2), SHORTENS * max(0, n - 2)))
+                options.append((c * min(n, 2), SHORTENS * max(0, n - 2), i + 1))
                 if n > 1:
-                    options.append((c, HALVES if n == 2 else SHORTENS * (n - 1)))
+                    options.append((c, HALVES if n == 2 else SHORTENS * (n - 1), i + 1))
             else:
-                options += [(x * k, IMITATES * n + (SHORTENS if k < n else 0)) for x in LEET.get(c, "") for k in ({1, min(n, 2)})]
+                options += [(x * k, IMITATES * n + (SHORTENS if k < n else 0), i + 1) for x in LEET.get(c, "") for k in {1, min(n, 2)}]
                 if c in SEPARATORS:
-                    options.append(("", DROPS * n if n < 3 else DROPS))
+                    options.append(("", DROPS * n if n < 3 else DROPS, i + 1))
+                    if apart:
+                        options.append((c * n, 0.0, i + 1))
                 else:
-                    options.append((c * n, KEEPS * n))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in states.items():
-                for string, price in options:
-                    x, y, total = a, b, cost + price
-                    for ch in string:
-                        k = char_class(ch)
-                        total += float(self.cost[x, y, k])
-                        x, y = y, k
-                    if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, out + string)
-            states = after
-        return min((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in states.items())[1]
+                    options.append((c * n, KEEPS * n, i + 1))
+                    if c.isdigit() and (i == 0 or not groups[i - 1][0].isdigit()):
+                        end = i
+                        while end < len(groups) and groups[end][0].isdigit():
+                            end += 1
+                        options.append(("".join(x * k for x, k in groups[i:end]), KEEPS, end))
+            paths = [(string, [char_class(ch) for ch in string], cost, end) for string, cost, end in options]
+            for at, (cost, path) in states[i].items():
+                for string, classes, more, end in paths:
+                    x, total = at, cost + more
+                    for k in classes:
+                        x = x << 6 | k
+                        total += price[x]
+                        x &= 0xFFF
+                    known = states[end].get(x)
+                    if known is None or total < known[0]:
+                        states[end][x] = (total, (path, string))
+            states[i] = {}
+        path = min(((cost + price[x << 6], x, path) for x, (cost, path) in states[-1].items()), key=lambda s: s[:2])[2]
+        out = []
+        while path:
+            path, string = path
+            out.append(string)
+        return "".join(reversed(out))
 
 
 def flags() -> np.ndarray:
-    """1 letter, 2 may imitate one, 4 white space, 0 else, of every code point below 0x3000; above: letters."""
-    return np.asarray([1 if chr(i).isalpha() else 2 if chr(i) in LEET else 4 if chr(i).isspace() else 0 for i in range(0x3000)], np.uint8)
+    """Whether a code point below 0x3000 may be a letter of a word spelt letter by letter; those above all may."""
+    return np.asarray([chr(i).isalnum() or chr(i) in LEET for i in range(0x3000)], bool)
 
 
-def disguised(text: str, table: np.ndarray) -> bool:
-    """Whether any token of the text has more than one path."""
+def spelt(text: str, table: np.ndarray) -> bool:
+    """Whether a text may have a word written letter by letter."""
     x = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    k = table[np.minimum(x, 0x2FFF)]
-    letter, odd = (k == 1) | (x > 0x2FFF), k == 2
-    if len(x) < 3:
+    if len(x) < 7:
         return False
-    if (odd[:-1] & letter[1:]).any() or (letter[:-1] & odd[1:]).any():
-        return True
-    if (letter[2:] & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2])).any():
-        return True
-    edge = np.concatenate([[True], ~letter, [True]])
+    letter = table[np.minimum(x, 0x2FFF)]
+    # Separators may be imitations, too (*): two places apart is what all such words have.
+    edge = np.concatenate([[True], ~letter | (x == 42), [True]])
     single = letter & edge[:-2] & edge[2:]
-    return bool(len(x) > 4 and (single[:-4] & single[2:-2] & single[4:]).any())
+    return bool((single[:-6] & single[2:-4] & single[4:-2] & single[6:]).any())
 
 
 def restorer(model: np.ndarray):
@@ -171,24 +192,21 @@ def restorer(model: np.ndarray):
     decoder, table = Decoder(model), flags()
 
     def of(text: str) -> str:
-        if not disguised(text, table):
-            return text
-        text = RUNS.sub("", text)
-        if not disguised(text, table):
-            return text
-        text = SPACED.sub(decoder.spaced, text)
-        return re.sub(r"\S+", lambda m: decoder.restore(m[0]), text)
+        if spelt(text, table):
+            text = SPACED.sub(decoder.spaced, text)
+        return re.sub(r"\S+", lambda m: decoder.restore(m[0]), text) if FORKS.search(text) else text
 
     return of
 
 
 def features(model: np.ndarray):
     """A callable that makes a callable text -> (slots, values): restored words of up to seven letters, and the first five to seven letters of words, once, twice, three and five times or more by the number of different words that have them."""
+    held = []
 
-    def make():
+    def build():
         import xxhash
 
-        restore, known = restorer(model), {}
+        decoder, table, of_token, known = Decoder(model), flags(), {}, {}
 
         hashed = xxhash.xxh3_64_intdigest
 
@@ -198,9 +216,18 @@ def features(model: np.ndarray):
             return out + [hashed(word[:k], 12) >> (64 - linear.BITS) for k in (5, 6, 7) if n >= k]
 
         def of(text: str) -> tuple[np.ndarray, np.ndarray]:
-            words = set(WORDS.findall(restore(text).lower()))
-            if len(known) > 200_000:
+            if spelt(text, table):
+                text = SPACED.sub(decoder.spaced, text)
+            if len(known) > 200_000 or len(of_token) > 200_000:
                 known.clear()
+                of_token.clear()
+            # The words of the restored text are those of its restored tokens.
+            words: set[str] = set()
+            for t in set(text.split()):
+                s = of_token.get(t)
+                if s is None:
+                    s = of_token[t] = WORDS.findall(decoder.restore(t).lower())
+                words.update(s)
             found: list[int] = []
             for w in words:
                 s = known.get(w)
@@ -214,6 +241,12 @@ def features(model: np.ndarray):
 
         return of
 
+    def make():
+        """One callable for all batches of a task: tokens are restored once."""
+        if not held:
+            held.append(build())
+        return held[0]
+
     return make
 
 

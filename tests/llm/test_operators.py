@@ -106,6 +106,22 @@ def test_viterbi_restores_disguised_words(spark, docs):
     assert toxicity.restorer(decoder.cost)("an i d i o t here") == "an idiot here"
 
 
+def test_viterbi_reads_runs_long_tokens_and_other_punctuation(spark, docs):
+    texts = ["you are an idiot and a stupid loser, such an asshole and asshole and asshole and bitch, shit trash and scum"] * 300 + [t for _, t in docs]
+    model = toxicity.log_model(toxicity.trigrams(frame(spark, texts)))
+    restore = toxicity.Decoder(model).restore
+    forms = {
+        "a$$hole": "asshole", "b**ch": "bech", "5h17": "shit", "1d107": "idiot", "1d10t,l0ser": "idiot,loser", "tr@sh/$cum": "trash/scum", "id" + "i" * 60 + "ot": "idiot",
+        "stup-id": "stupid", "st_upid": "stupid", "iddiot": "idiot", "1d10t.l0ser.tr@sh.1d10t.l0ser.tr@sh.1d10t.l0ser": "idiot.loser.trash.idiot.loser.trash.idiot.loser",
+        "well-known": "well-known", "Hello": "Hello", "2024": "2024", "wow!!!": "wow!!!", "---": "---", "loser$$$": "loser$$$", "10,000.5": "10,000.5",
+    }
+    assert {w: restore(w) for w in forms} == forms
+    of = toxicity.restorer(model)
+    assert of("so -- an 1 d 1 0 t, or i.d.i.o.t ... 1 2 3 4 5") == "so -- an idiot, or idiot ... 1 2 3 4 5"
+    score = toxicity.features(model)()
+    assert all(set(score(w)[0]) == set(score(v)[0]) for w, v in forms.items())
+
+
 # Rules
 
 
