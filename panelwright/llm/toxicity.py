@@ -7,7 +7,7 @@
    at punctuation that is no imitation, what stands at a piece's edges stays, and so do pieces
    without any letter. Letters one by one between separators are one word. Tokens without
    digits, symbols, separators or repeated letters have one path only and skip the lattice.
-3. Hashed presence of restored words and of their beginnings, in one or in several words, scored by a logistic regression.
+3. Hashed presence of whole restored words and of their beginnings and endings, in one or in several words, scored by a logistic regression.
 
 An empty or null text scores the bias alone.
 """
@@ -200,7 +200,7 @@ def restorer(model: np.ndarray):
 
 
 def features(model: np.ndarray):
-    """A callable that makes a callable text -> (slots, values): restored words of up to seven letters, and the first five to seven letters of words, once, twice, three and five times or more by the number of different words that have them."""
+    """A callable that makes a callable text -> (slots, values): whole restored words of any length, and the first and last five to seven letters of words, once, twice, three and five times or more by the number of different words that have them."""
     held = []
 
     def build():
@@ -212,8 +212,8 @@ def features(model: np.ndarray):
 
         def slots_of(word: str) -> list[int]:
             n = len(word)
-            out = [hashed(word, 11) >> (64 - linear.BITS)] if n <= 7 else []
-            return out + [hashed(word[:k], 12) >> (64 - linear.BITS) for k in (5, 6, 7) if n >= k]
+            out = [hashed(word, 11)] + [hashed(word[:k], 12) for k in (5, 6, 7) if n >= k] + [hashed(word[-k:], 13) for k in (5, 6, 7) if n > k]
+            return [h >> (64 - linear.BITS) for h in out]
 
         def of(text: str) -> tuple[np.ndarray, np.ndarray]:
             if spelt(text, table):

@@ -122,6 +122,15 @@ def test_viterbi_reads_runs_long_tokens_and_other_punctuation(spark, docs):
     assert all(set(score(w)[0]) == set(score(v)[0]) for w, v in forms.items())
 
 
+def test_toxicity_reads_words_to_their_end():
+    import numpy as np
+
+    score = toxicity.features(toxicity.log_model(np.zeros(toxicity.CLASSES**3)))()
+    slots = {w: set(score(w)[0]) for w in ("homophobe", "homophone", "donaudampfschiff", "donaudampfschaf")}
+    assert slots["homophobe"] != slots["homophone"] and slots["homophobe"] & slots["homophone"]
+    assert len(slots["donaudampfschiff"] - slots["donaudampfschaf"]) >= 4
+
+
 # Rules
 
 
