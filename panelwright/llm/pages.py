@@ -4,12 +4,15 @@ A page becomes lines: one per block element, without scripts, styles, forms, men
 footers, sidebars, notices, adverts and reader comments as far as the markup names them. Pages are put
 in the order of their host and URL path; each is paired with the neighbour on the same host whose path
 shares the longer beginning (the one before it, if equal), the two pages' lines are aligned
-by a longest common subsequence, and lines that both share are deleted: they are the site's.
+by a longest common subsequence, and lines that both share are candidates: they may be the site's.
 
 Differencing alone would also delete what two neighbouring articles share: a quotation, or all
-of a copied article. So paragraphs and headings inside an explicit article or main element are
-protected; on pages that have one, lines outside it are dropped. A host's single page has no neighbour
-and keeps all its lines. Null html is empty. Rows with equal keys are pages of their own.
+of a copied article. So a neighbour that is a copy (see `is_copy`) says nothing, and a shared line
+goes only if it stands before the page's first or after its last own line, or if the neighbours on
+both sides have it. Inside an explicit article or main element only the latter counts, and paragraphs
+and headings always stay; on pages that have one, lines outside it are dropped. A page without
+neighbours, or with copies only, keeps all its lines. Null html is empty. Rows with equal keys are
+pages of their own.
 """
 from __future__ import annotations
 
@@ -168,6 +171,23 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
+def is_copy(lines: list[str], common: set[int], same_path: bool) -> bool:
+    """Whether a neighbour that shares `common` is the page again: it has nine tenths of its characters, or half of them under the same path."""
+    n = sum(map(len, lines))
+    return sum(len(lines[i]) for i in common) >= (0.5 if same_path else 0.9) * n
+
+
+def site_lines(lines: list[str], kinds: list[int], aligned: list[set[int]]) -> set[int]:
+    """Places of the lines that are the site's, from the places shared with each neighbour that is no copy, the nearest first."""
+    if not aligned:
+        return set()
+    several = set.intersection(*aligned) if len(aligned) > 1 else set()
+    if any(kinds):
+        return several
+    own = [i for i in range(len(lines)) if i not in aligned[0]]
+    return several | {i for i in aligned[0] if not own[0] < i < own[-1]}
+
+
 def main_text(lines: list[str], kinds: list[int], common: set[int]) -> str:
     inside = int(any(kinds))
     kept = [x for i, (x, k) in enumerate(zip(lines, kinds)) if k == 2 or k == inside and i not in common]
@@ -226,10 +246,11 @@ def extract(pages: DataFrame, key: str = "page_id", per_range: int = 1000) -> Da
             texts, counts = [], []
             for r in b.select(["host", "path", "lines", "kinds", "hashes", "before", "after"]).to_pylist():
                 sides = [s for s in (r["before"], r["after"]) if s and s["host"] == r["host"]]
-                other = max(sides, key=lambda s: _prefix(s["path"], r["path"]), default=None)
-                common = shared(r["hashes"], other["hashes"]) if other else set()
-                texts.append(main_text(r["lines"], r["kinds"], common))
-                counts.append(len(common))
+                sides.sort(key=lambda s: -_prefix(s["path"], r["path"]))
+                aligned = [(shared(r["hashes"], s["hashes"]), s["path"] == r["path"]) for s in sides]
+                telling = [common for common, same in aligned if not is_copy(r["lines"], common, same)]
+                texts.append(main_text(r["lines"], r["kinds"], site_lines(r["lines"], r["kinds"], telling)))
+                counts.append(len(aligned[0][0]) if aligned else 0)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.int32())], [key, "url", "text", "n_chars", "n_shared"])
 
     return d.mapInArrow(difference, f"`{key}` {kind}, url string, text string, n_chars long, n_shared int")

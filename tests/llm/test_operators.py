@@ -316,6 +316,25 @@ def test_pages(spark):
     assert got == {1: "One & more text", 2: "Two & more text", 3: "", 4: "", 5: "Tést\n\nSame bold words\n\nNext", 6: "Same bold words", 7: "a < b < c"}
 
 
+def test_pages_keep_what_neighbours_share(spark):
+    menu, foot = "<div>Motto of the site</div>", "<div>All rights reserved</div>"
+    words = lambda i: f"{i} is told at length in this paragraph, which no other page of the host has"
+    plain = lambda *x: f"<body>{menu}{''.join(f'<div>{y}</div>' for y in x)}{foot}</body>"
+    inside = lambda i, *x: f"<body>{menu}<article><p>{words(i)}</p>{''.join(f'<ul><li>{y}</li></ul>' for y in x)}</article></body>"
+    story = plain(words("One"), words("Two"), words("Three"))
+    rows = [
+        (1, "https://a.org/story", story), (2, "https://a.org/story?print=1", story), (3, "https://a.org/story?x", plain(words("One"), words("Two"), "changed")),
+        (4, "https://b.org/x/1", plain(words("Four"), "A quotation", words("Five"))), (5, "https://b.org/x/2", plain(words("Six"), "A quotation", words("Seven"))),
+        (6, "https://c.org/1", inside("Eight", "Salt", "Pepper")), (7, "https://c.org/2", inside("Nine", "Salt", "Sugar")),
+        (8, "https://d.org/1", inside("A", "Share this")), (9, "https://d.org/2", inside("B", "Share this")), (10, "https://d.org/3", inside("C", "Share this")),
+    ]
+    got = {r.page_id: r.text.split("\n\n") for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(words(w) in got[i] for i in (1, 2) for w in ("One", "Two", "Three")) and words("One") in got[3] and "changed" in got[3]
+    assert got[4] == [words("Four"), "A quotation", words("Five")] and got[5] == [words("Six"), "A quotation", words("Seven")]
+    assert got[6] == [words("Eight"), "Salt", "Pepper"] and got[7] == [words("Nine"), "Salt", "Sugar"]
+    assert got[9] == [words("B")] and got[8] == [words("A"), "Share this"]
+
+
 def test_page_neighbours_do_not_depend_on_ranges(spark):
     p = spark.read.parquet(f"{SF}/pages.parquet")
     a, b = ({r.page_id: (r.text, r.n_shared) for r in pages.extract(p, per_range=n).collect()} for n in (7, 10_000))
