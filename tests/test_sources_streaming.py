@@ -86,3 +86,27 @@ def test_recall_prefers_the_same_words(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [-1.0, 0.0])], "doc_id long, v array<float>")
     got = text.cosine(v, v.where("doc_id = 0").selectExpr("doc_id AS query_id", "v AS q")).collect()
     assert [(r.doc_id, r.rank) for r in got] == [(1, 1)] and got[0].score == pytest.approx(0.993884, abs=1e-5)
+
+
+def test_tfidf_equals_reference_definition(spark):
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["a", "A", "ab", " a\tb\n", "the cat sat", "thecat sat down", "Die Käse\u00a0reibe", "käsereibe", "b", "", None, "a\x1cb c", "😀x", "x 😀"]
+
+    def grams(t):
+        t = re.sub(r"\s+", "", (t or "").lower())
+        return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+
+    tf = [grams(t) for t in texts]
+    df = Counter(g for c in tf for g in c)
+    vectors = []
+    for c in tf:
+        v = {g: k / sum(c.values()) * (math.log((len(texts) + 1) / (df[g] + 1)) + 1) for g, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors.append({g: x / norm for g, x in v.items()})
+    want = {(i, j): sum(x * b.get(g, 0.0) for g, x in a.items()) for i, a in enumerate(vectors) for j, b in enumerate(vectors) if i != j and a.keys() & b.keys()}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in text.tfidf_cosine(d, d.withColumnRenamed("doc_id", "query_id"), n=100).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
