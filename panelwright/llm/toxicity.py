@@ -6,7 +6,8 @@
    channel and language model is the restored word. Tokens of any length are read; they are split
    at punctuation that is no imitation, what stands at a piece's edges stays, and so do pieces
    without any letter. Letters one by one between separators are one word. Tokens without
-   digits, symbols, separators or repeated letters have one path only and skip the lattice.
+   digits, symbols, separators or repeated letters have one path only and skip the lattice;
+   where repeated letters are the only choice, the best path is found run by run (see `Decoder.runs`).
 3. Hashed presence of whole restored words and of their beginnings and endings, in one or in several words, scored by a logistic regression.
 
 An empty or null text scores the bias alone.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from . import linear
 from .common import small_batches
 from .quality import held_out
+from .wordhash import mixed
 
 TOXIC_FROM, SAMPLE = 0.7, 12_000
 #: What a character may stand for, besides itself.
@@ -45,6 +47,7 @@ PIECES = re.compile(rf"(?:[^\W_]|[{IMITATIONS}{re.escape(SEPARATORS)}])+")
 #: Where viterbi() has more than one option: an imitation, a separator, a letter repeated.
 FORKS = re.compile(rf"[{IMITATIONS}0-9{re.escape(SEPARATORS.strip())}]|([^\W\d_])\1", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
+REPEATED = re.compile(r"([^\W\d_])\1+")
 
 
 def char_class(c: str) -> int:
@@ -108,7 +111,8 @@ class Decoder:
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            found = self.known[token] = PIECES.sub(self._piece, token) if FORKS.search(token) else token
+            # What strip takes off is an edge of the token's first or last piece and stays anyway.
+            found = self.known[token] = PIECES.sub(self._piece, token) if FORKS.search(token.strip(".,;:?'\"")) else token
         return found
 
     def _piece(self, match: re.Match) -> str:
@@ -118,9 +122,27 @@ class Decoder:
         if not FORKS.search(core) or not any(map(str.isalpha, core)):
             return piece
         seen, at = core.lower(), piece.index(core)
-        made = self.viterbi(seen)
+        made = self.runs(seen) if seen.isalpha() else self.viterbi(seen)
         return piece if made == seen else piece[:at] + made + piece[at + len(core) :]
 
+    def runs(self, seen: str) -> str:
+        """What `viterbi` makes of letters only, where each run of a letter becomes two of it or one.
+
+        A run's choice changes the trigrams that end in its second letter and in the letter after
+        it; the next trigram has the same two letters before it in either case. So runs are chosen one by one.
+        """
+        price = self.price
+
+        def chosen(m: re.Match) -> str:
+            c, n = char_class(m[1]), m.end() - m.start()
+            before = char_class(seen[m.start() - 1]) if m.start() else 0
+            after = char_class(seen[m.end()]) if m.end() < len(seen) else 0
+            two = price[before << 12 | c << 6 | c] + price[c << 12 | c << 6 | after] + SHORTENS * (n - 2)
+            one = price[before << 12 | c << 6 | after] + (HALVES if n == 2 else SHORTENS * (n - 1))
+            return m[1] if one < two else m[1] * 2
+
+        return REPEATED.sub(chosen, seen)
+
     def spaced(self, match: re.Match) -> str:
         s = match[0]
         return self.viterbi(s.lower(), apart=False) if len(set(s)) > 3 and any(map(str.isalpha, s)) else s
@@ -199,44 +221,74 @@ def restorer(model: np.ndarray):
     return of
 
 
+def slots_of(words: list[str]) -> np.ndarray:
+    """For each word the slots of itself, of its first and of its last five, six and seven letters, -1 where it has no more letters than that."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(n) - n
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    powers = np.full(max(int(n.max()), 7), linear.M1)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    whole = np.add.reduceat(letters * powers[np.arange(len(letters)) - np.repeat(starts, n)], starts)
+    place = np.arange(7)
+    head = letters[np.minimum(starts[:, None] + place, len(letters) - 1)] * powers[place]
+    tail = letters[np.maximum((starts + n)[:, None] - 7 + place, 0)] * powers[place]
+    columns = [(whole, n > 0, 11)]
+    for k in (5, 6, 7):
+        columns += [(head[:, :k].sum(axis=1), n >= k, 12 + k), (tail[:, 7 - k :].sum(axis=1), n > k, 22 + k)]
+    return np.stack([np.where(has, linear.slots(mixed(h), stream).astype(np.int64), -1) for h, has, stream in columns], axis=1)
+
+
 def features(model: np.ndarray):
     """A callable that makes a callable text -> (slots, values): whole restored words of any length, and the first and last five to seven letters of words, once, twice, three and five times or more by the number of different words that have them."""
     held = []
 
     def build():
-        import xxhash
-
-        decoder, table, of_token, known = Decoder(model), flags(), {}, {}
-
-        hashed = xxhash.xxh3_64_intdigest
-
-        def slots_of(word: str) -> list[int]:
-            n = len(word)
-            out = [hashed(word, 11)] + [hashed(word[:k], 12) for k in (5, 6, 7) if n >= k] + [hashed(word[-k:], 13) for k in (5, 6, 7) if n > k]
-            return [h >> (64 - linear.BITS) for h in out]
+        decoder, table = Decoder(model), flags()
+
+        class Tokens(dict):
+            """Token -> numbers of its restored words, whose slots are the rows of `slots`."""
+
+            def __init__(self):
+                self.words: dict[str, int] = {}
+                self.new: list[str] = []
+                self.slots = np.zeros((0, 7), np.int64)
+
+            def __missing__(self, token: str) -> tuple[int, ...]:
+                found = []
+                for w in WORDS.findall(decoder.restore(token).lower()):
+                    if w not in self.words:
+                        self.words[w] = len(self.words)
+                        self.new.append(w)
+                    found.append(self.words[w])
+                self[token] = out = tuple(found)
+                return out
+
+            def of(self, numbers: set[int]) -> np.ndarray:
+                if self.new:
+                    n = len(self.words) - len(self.new)
+                    if len(self.slots) < len(self.words):
+                        self.slots = np.concatenate([self.slots[:n], np.full((len(self.words), 7), -1)])
+                    self.slots[n : len(self.words)] = slots_of(self.new)
+                    self.new.clear()
+                return self.slots[np.fromiter(numbers, np.int64, len(numbers))].ravel()
+
+        tokens = Tokens()
 
         def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal tokens
             if spelt(text, table):
                 text = SPACED.sub(decoder.spaced, text)
-            if len(known) > 200_000 or len(of_token) > 200_000:
-                known.clear()
-                of_token.clear()
+            if len(tokens) > 200_000:
+                tokens = Tokens()
             # The words of the restored text are those of its restored tokens.
-            words: set[str] = set()
-            for t in set(text.split()):
-                s = of_token.get(t)
-                if s is None:
-                    s = of_token[t] = WORDS.findall(decoder.restore(t).lower())
-                words.update(s)
-            found: list[int] = []
-            for w in words:
-                s = known.get(w)
-                if s is None:
-                    s = known[w] = slots_of(w)
-                found += s
-            at, n = np.unique(np.asarray(found, np.int64), return_counts=True)
+            found = tokens.of(set().union(*map(tokens.__getitem__, set(text.split()))))
+            found = np.sort(found[found >= 0])
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if found.size else np.zeros(0, np.int64)
+            at, n = found[starts], np.diff(starts, append=found.size)
             more = [linear.slots(at[n >= k].astype(np.uint64), 20 + k).astype(np.int64) for k in (2, 3, 5)]
-            at = np.unique(np.concatenate([at, *more]))
+            at = np.sort(np.concatenate([at, *more]))
+            at = at[np.append(True, at[1:] != at[:-1])] if at.size else at
             return at, np.ones(len(at))
 
         return of
