@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import text_or_empty
 
 #: Kinds in the order that breaks ties of equal starts; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -109,7 +109,6 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "spans") -> DataFram
 
     All columns and rows stay, repeated rows too; a column already named `into` is replaced.
     """
-    small_batches(df.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def spans(texts: pa.Array) -> pa.Array:
@@ -120,7 +119,6 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "spans") -> DataFram
 
 def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with every span of `text` replaced by its kind in brackets; overlapping spans become one mark."""
-    small_batches(df.sparkSession)
 
     def masked(texts: pa.Array) -> pa.Array:
         out = []

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import small_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Threshold of the registered query, labelled rows that training reads at most.
@@ -84,12 +83,12 @@ def _grown(table: np.ndarray, known: int, rows: list) -> np.ndarray:
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold
+    """Whether a row is in the fold; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> np.ndarray:
     """Weights from at most `limit` labelled rows, none of which is in the held-out fold (crc32 of the key mod 5 is 0)."""
-    small_batches(docs.sparkSession)
     return linear.fit(docs, linear.labelled_sample(labels, "quality", ~held_out("doc_id", 5, 0), limit), features)
 
 

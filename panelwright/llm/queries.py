@@ -4,7 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprints, mixing, near, pages, pii, quality, rules, substrings, toxicity
-from .common import table
+from .common import small_batches, table as read
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return read(spark, sf_dir, name)
 
 
 def op1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +23,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.encode(docs, decoded="decoded"))
+    return bpe.digest(bpe.decode(bpe.encode(docs)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
