@@ -1,8 +1,9 @@
 """Substring dedup by relative Lempel-Ziv factors against all documents.
 
-Words are runs of code points other than space and \\x09-\\x0D. A factor of a document is a
-maximal run of its `window`-word windows that also start earlier (smaller key, or the same
-document, earlier start). The reference is every document, indexed in two levels:
+Words are runs of code points other than space and \\x09-\\x0D. A document is parsed from left to right
+into factors: each is the longest stretch, of `window` words or more, that follows the first earlier occurrence
+(smaller key, or the same document, earlier start) of its first window word for word, and carries
+that place. The reference is every document, indexed in two levels:
 
 1. Seeds. Each window has a minimal 8-word gram, the same one wherever the window occurs. Only
    windows whose minimal gram occurs at least twice in the corpus can be repeats; seeds are
@@ -12,10 +13,11 @@ document, earlier start). The reference is every document, indexed in two levels
    that a third of all documents hold is one row per block, not one per document.
 
 Windows across the boundary of two factors are windows like any other and are looked up
-themselves, so factors end exactly where no earlier window covers on. All counts are exact
-but for hash collisions (2**-96 for a pair of windows).
+themselves, so where a factor's reference breaks off, the next factor takes over at that
+word if a window around the boundary starts earlier somewhere else: together factors are exactly
+the words that earlier windows cover. All counts are exact but for hash collisions (2**-96 for a pair of windows).
 
-Null texts have no words. Rows with equal keys are one document, treated alike; rows with a null
+Keys are integers. Null texts have no words. Other columns are not returned. Rows with equal keys are one document, treated alike; rows with a null
 key are left as they are and are no reference. Texts of fewer than `window` words stay whole.
 """
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import keep
 from .wordhash import A, WordHashes, grams, mixed
 
 #: Words of a window and of a seed; a window has at most 32 seeds.
@@ -53,14 +55,38 @@ def minima(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return low & ~np.uint64(31), low & np.uint64(31), (low & np.uint64(31)) != np.uint64(31) - (high & np.uint64(31))
 
 
+RUNS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("of", pa.int64()), ("at", pa.int32())]))
+RUNS_SQL = "array<struct<start:int,n:int,of:long,at:int>>"
+
+
+def breaks(s: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each window (start, key and start of its reference) does not follow on the one before it."""
+    return np.append(True, (np.diff(s) != 1) | (np.diff(of) != 0) | (np.diff(at) != 1))
+
+
+def factors_of(runs: pa.StructArray, window: int) -> list[dict]:
+    """The greedy parse from the windows that start earlier: a factor ends where its reference breaks off, the next one begins there."""
+    start, n, of, at = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "of", "at"))
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start, of, at = np.repeat(start, n) + step, np.repeat(of, n), np.repeat(at, n) + step
+    order = np.argsort(start, kind="stable")
+    start, of, at = start[order], of[order], at[order]
+    new = np.flatnonzero(breaks(start, of, at))
+    out, done = [], 0
+    for s, k, key, ref in zip(start[new].tolist(), np.diff(new, append=len(start)).tolist(), of[new].tolist(), at[new].tolist()):
+        end, begin = s + k + window - 1, max(s, done)
+        if end > begin:
+            out.append({"start": begin, "n_words": end - begin, "of": key, "at": ref + begin - s})
+            done = end
+    return out
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, n_words, n_removed, kept, factors) of every row: the kept words joined by one space, and the factors as (start, n_words)."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
+    """(key, n_words, n_removed, kept, factors) of every row: the kept words joined by one space, and the factors as (start, n_words, of, at): places in the text, and where the reference is."""
     gram = max(min(GRAM, window), window - 31)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
@@ -87,7 +113,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     wanted = seeded.select("gram", "key").join(twice, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
 
     def windows(batches):
-        """Of each block of documents: windows to look up in other blocks, and starts of those with an earlier one in this block."""
+        """Of each block of documents: windows to look up in other blocks, and runs of those with an earlier one in this block: start, number, key and start of the reference."""
         hashes = WordHashes()
 
         def block(rows):
@@ -107,16 +133,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
             first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
             later = (d > d[first]) | (s > s[first])
-            ask = head
-            none = np.zeros(ask.sum(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ask].view(np.int64)), pa.array(b[ask].astype(np.int32)), pa.array(d[ask]), pa.array(s[ask].astype(np.int32)), pa.array([None] * len(none), pa.list_(pa.int32()))], NAMES)
-            d, s = d[later], s[later]
+            none = pa.nulls(int(head.sum()), RUNS)
+            yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(b[head].astype(np.int32)), pa.array(d[head]), pa.array(s[head].astype(np.int32)), none], NAMES)
+            d, s, of, at = d[later], s[later], d[first][later], s[first][later]
             if len(d):
                 order = np.lexsort((s, d))
-                d, s = d[order], s[order]
-                cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(d)).astype(np.int32)), pa.array(s.astype(np.int32)))
+                d, s, of, at = d[order], s[order], of[order], at[order]
+                new = np.flatnonzero(breaks(s, of, at) | np.append(True, d[1:] != d[:-1]))
+                runs = pa.StructArray.from_arrays([pa.array(s[new].astype(np.int32)), pa.array(np.diff(new, append=len(s)).astype(np.int32)), pa.array(of[new]), pa.array(at[new].astype(np.int32))], fields=list(RUNS.value_type))
+                d = d[new]
+                cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
                 own = mixed(d[cut].view(np.uint64)).view(np.int64)  # no window's key: spreads the rows
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(d)).astype(np.int32)), runs)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(cut), -1, np.int32)), pa.array(d[cut]), pa.array(np.full(len(cut), -1, np.int32)), lists], NAMES)
 
         rows, size = [], 0
@@ -131,36 +159,33 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         if rows:
             yield from block(rows)
 
-    NAMES = ["w1", "w2", "key", "start", "starts"]
-    asked = docs.join(wanted, "key", "left").mapInArrow(windows, "w1 long, w2 int, key long, start int, starts array<int>")
-    rank = F.rank().over(W.partitionBy("w1", "w2").orderBy("key", "start"))
-    later = asked.withColumn("rank", rank).where("starts IS NOT NULL OR rank > 1")
-    later = later.groupBy("key").agg(F.collect_list(F.when(F.col("starts").isNull(), F.col("start"))).alias("one"), F.flatten(F.collect_list("starts")).alias("many"))
-    later = later.select("key", F.concat("one", "many").alias("starts"))
+    NAMES = ["w1", "w2", "key", "start", "runs"]
+    asked = docs.join(wanted, "key", "left").mapInArrow(windows, f"w1 long, w2 int, key long, start int, runs {RUNS_SQL}")
+    same = W.partitionBy("w1", "w2").orderBy("key", "start")
+    later = asked.withColumns({"rank": F.rank().over(same), "first": F.first(F.struct("key", "start")).over(same)}).where("runs IS NOT NULL OR rank > 1")
+    one = F.struct("start", F.lit(1).alias("n"), F.col("first.key").alias("of"), F.col("first.start").alias("at"))
+    later = later.groupBy("key").agg(F.collect_list(F.when(F.col("runs").isNull(), one)).alias("one"), F.flatten(F.collect_list("runs")).alias("many"))
+    later = later.select("key", F.concat("one", "many").alias("runs"))
 
     def cut(batches):
         for b in batches:
             n_words, n_removed, kept, factors = [], [], [], []
-            for t, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist()):
+            for t, runs in zip(b.column("text").to_pylist(), b.column("runs")):
                 words = _words(t)
                 n_words.append(len(words))
-                found = []
-                if starts:
-                    s = np.asarray(starts)
-                    over = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(over, s, 1)
-                    np.add.at(over, s + window, -1)
-                    gone = np.cumsum(over)[:-1] > 0
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                    s = np.unique(s)
-                    breaks = np.flatnonzero(np.diff(s) > 1)
-                    found = [{"start": int(x), "n_words": int(y - x + window)} for x, y in zip(s[np.append(0, breaks + 1)], s[np.append(breaks, len(s) - 1)])]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                found = factors_of(runs.values, window) if runs.is_valid and len(runs.values) else []
+                left, at = [], 0
+                for f in found:
+                    left += words[at : f["start"]]
+                    at = f["start"] + f["n_words"]
+                left += words[at:]
+                n_removed.append(len(words) - len(left))
+                kept.append(b" ".join(left).decode())
                 factors.append(found)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32())])))], ["key", "n_words", "n_removed", "kept", "factors"])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("of", pa.int64()), ("at", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, kind)], ["key", "n_words", "n_removed", "kept", "factors"])
 
-    out = docs.join(later, "key", "left").mapInArrow(cut, "key long, n_words long, n_removed long, kept string, factors array<struct<start:int,n_words:int>>")
+    out = docs.join(later, "key", "left").mapInArrow(cut, "key long, n_words long, n_removed long, kept string, factors array<struct<start:int,n_words:int,of:long,at:int>>")
     return out.withColumnRenamed("key", key)
 
 
