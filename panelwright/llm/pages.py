@@ -1,49 +1,63 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes lines: one per block element, without scripts, styles, forms, menus, headers,
-footers, sidebars, notices, adverts and reader comments as far as the markup names them. Pages are put
+A page becomes lines, one per block element; scripts, styles, and controls are no lines. Pages are put
 in the order of their host and URL path; each is paired with the neighbour on the same host whose path
 shares the longer beginning (the one before it, if equal), the two pages' lines are aligned
-by a longest common subsequence, and lines that both share are candidates: they may be the site's.
-
-Differencing alone would also delete what two neighbouring articles share: a quotation, or all
-of a copied article. So a neighbour that is a copy (see `is_copy`) says nothing, and a shared line
-goes only if it stands before the page's first or after its last own line, or if the neighbours on
-both sides have it. Inside an explicit article or main element only the latter counts, and paragraphs
-and headings always stay; on pages that have one, lines outside it are dropped. A page without
-neighbours, or with copies only, keeps all its lines. Null html is empty. Rows with equal keys are
-pages of their own.
+by a longest common subsequence, and lines that both share are deleted, with these exceptions:
+
+* a neighbour that is a copy (see `is_copy`) says nothing, or two copies of an article would delete each other;
+* inside an explicit article or main element a shared line goes only if the neighbours on both sides have
+  it, and paragraphs and headings stay: two articles may quote the same passage;
+* on pages without such an element a shared line goes if it stands before the page's first or after its
+  last own line, or if the neighbours on both sides have it.
+
+Menus, adverts and footers may differ on every page; no alignment finds those. So of what is left,
+lines go that the markup names as such (`DROPPED`, `NAMES`, `ROLES`), and on pages with an article
+or main element lines outside it. `n_shared` and `n_named` count what either step deleted.
+
+A page without neighbours, or with copies only, is judged by its markup alone. Null html is empty; null URLs
+are of one host without a name. Rows with equal keys are pages of their own, equal URLs are in the order of key and html.
+Very long pages cost time in proportion to their lines times those that both pages have, by 64-bit words.
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import range_of, small_batches
+from .common import keep
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head".split()
 )
-#: Elements whose content is never text of the page, read up to their end tag.
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button canvas audio video xmp".split())
+#: Elements whose content is never markup, up to their end tag (to the end of the page for the first two).
+RAW = frozenset("script style title textarea noscript template iframe xmp".split())
+#: Controls and drawings: dropped up to their end tag if no block element begins before it, else only up to the next tag.
+CONTROLS = frozenset("svg object select button canvas audio video".split())
 DROPPED = frozenset("nav footer aside form head menu dialog search".split())
-#: Words of class and id, and roles, that name what is not the article.
+#: Words of class and id, and roles, that name what is not the article; words that may stand beside them.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
     "subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager footer masthead comment comments disqus replies respond social "
     "share sharing related recommended widget skip copyright disclaimer toc".split()
 )
+BESIDE = frozenset("left right top bottom site page main global primary secondary wrapper wrap container box block list item items inner outer bar area section links buttons wide mobile header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 PROTECTED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption".split())
 #: Elements that are tracked until their end tag; others only begin or end lines, or nothing.
 TRACKED = frozenset("div section article main nav header footer aside form ul ol dl table figure body html head menu dialog search details span blockquote fieldset".split())
+#: Of a line: in the body, in the article, in the article and protected, named as something else.
+BODY, INSIDE, SAFE, NAMED = range(4)
+#: Partitions that pages are dealt into at most; they are sorted and read as streams, so their size is no matter of memory.
+RANGES = 20_000
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>?")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -61,18 +75,31 @@ def _named(rest: str) -> tuple[bool, bool]:
                 return True, False
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True, False
-        elif name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True, False
+        elif name in ("class", "id"):
+            for token in value.split():
+                words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+                if not NAMES.isdisjoint(words) and words <= NAMES | BESIDE:
+                    return True, False
     return False, main
 
 
+def _raw_end(html: str, name: str, at: int) -> int:
+    """Where the content of an element that began before `at` ends, or `at` itself if it is not to be dropped."""
+    end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
+    if name in RAW:
+        return end.end() if end else len(html) if name in ("script", "style") else at
+    tags = TAG.finditer(html, at, end.start() if end else len(html))
+    block = next((m.start() for m in tags if m[2].lower() in BLOCK), None)
+    return end.end() if end and block is None else max(at, html.find("<", at))
+
+
 def lines_of(html: str) -> tuple[list[str], list[int]]:
-    """The lines of a page, and of each: 0 in the body, 1 in the article, 2 in the article and protected."""
+    """The lines of a page, and of each whether it is BODY, INSIDE, SAFE or NAMED."""
     lines: list[str] = []
     kinds: list[int] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, main
-    dropped = main = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, named as something else, main
+    named = main = 0
     kind, at, n = "", 0, len(html)
 
     def flush() -> None:
@@ -81,13 +108,13 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
             parts.clear()
             if text:
                 lines.append(text)
-                kinds.append((2 if kind in PROTECTED else 1) if main else 0)
+                kinds.append(NAMED if named else BODY if not main else SAFE if kind in PROTECTED else INSIDE)
 
     while at < n:
         i = html.find("<", at)
         if i < 0:
             i = n
-        if i > at and not dropped:
+        if i > at:
             parts.append(unescape(html[at:i]))
         if i == n:
             break
@@ -101,22 +128,19 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
             continue
         m = TAG.match(html, i)
         if not m:
-            if not dropped:
-                parts.append("<")
+            parts.append("<")
             at = i + 1
             continue
         at = m.end()
         closing, name, rest = m[1], m[2].lower(), m[3]
-        if name in RAW:
+        if name in RAW or name in CONTROLS:
             if not closing and not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
-                at = end.end() if end else n
+                at = _raw_end(html, name, at)
             continue
         if name == "br":
-            if not dropped:
-                parts.append(" ")
+            parts.append(" ")
             continue
-        if name in BLOCK:
+        if name in BLOCK or name == "span" and stack and stack[-1][1]:
             flush()
             kind = "" if closing else name
         if name in VOID or name not in TRACKED:
@@ -124,23 +148,26 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, d, x in stack[k:]:
-                        dropped, main = dropped - d, main - x
+                    if any(bad for _, bad, _ in stack[k:]):
+                        flush()
+                    for _, bad, x in stack[k:]:
+                        named, main = named - bad, main - x
                     del stack[k:]
                     break
             continue
         if rest.endswith("/"):
             continue
         bad, is_main = _named(rest)
-        if not bad and (name in ("article", "main", "body") or is_main) and dropped and not any(d and e in ("nav", "footer", "aside") for e, d, _ in stack):
+        is_main |= name in ("article", "main")
+        if (is_main or name == "body") and named and not any(d and e in ("nav", "footer", "aside") for e, d, _ in stack):
             stack = [(e, False, x) for e, _, x in stack]  # an advert or head that was never closed
-            dropped = 0
-        bad = bad or name in DROPPED or name == "header" and not main
-        x = not bad and (name in ("article", "main") or is_main)
-        if bad and name == "body":
-            bad = False
-        stack.append((name, bad, x))
-        dropped, main = dropped + bad, main + x
+            named = 0
+        # What is the article by its element's name is it whatever its classes say.
+        bad = (bad or name in DROPPED or name == "header" and not main) and not is_main and name not in ("body", "html")
+        if bad:
+            flush()
+        stack.append((name, bad, is_main and not named))
+        named, main = named + bad, main + (is_main and not named)
     flush()
     return lines, kinds
 
@@ -182,16 +209,17 @@ def site_lines(lines: list[str], kinds: list[int], aligned: list[set[int]]) -> s
     if not aligned:
         return set()
     several = set.intersection(*aligned) if len(aligned) > 1 else set()
-    if any(kinds):
-        return several
-    own = [i for i in range(len(lines)) if i not in aligned[0]]
-    return several | {i for i in aligned[0] if not own[0] < i < own[-1]}
+    several = {i for i in several if kinds[i] != SAFE}
+    if INSIDE in kinds or SAFE in kinds:
+        return several | {i for i in aligned[0] if kinds[i] in (BODY, NAMED)}
+    own = [i for i in range(len(lines)) if i not in aligned[0] and kinds[i] != NAMED]
+    return several | {i for i in aligned[0] if kinds[i] == NAMED or own and not own[0] < i < own[-1]}
 
 
-def main_text(lines: list[str], kinds: list[int], common: set[int]) -> str:
-    inside = int(any(kinds))
-    kept = [x for i, (x, k) in enumerate(zip(lines, kinds)) if k == 2 or k == inside and i not in common]
-    return "\n\n".join(kept)
+def named_lines(kinds: list[int]) -> set[int]:
+    """Places of the lines that the markup puts outside the article."""
+    article = INSIDE in kinds or SAFE in kinds
+    return {i for i, k in enumerate(kinds) if k == NAMED or article and k == BODY}
 
 
 def _hashes(lines: list[str]) -> list[int]:
@@ -205,52 +233,78 @@ def _prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def main_text(page: dict, neighbours: list[dict]) -> tuple[str, int, int]:
+    """The text of a page (lines, kinds, hashes, path) beside its neighbours on the host, and how many lines differencing and markup deleted."""
+    near = sorted(neighbours, key=lambda s: -_prefix(s["path"], page["path"]))
+    aligned = [(shared(page["hashes"], s["hashes"]), s["path"] == page["path"]) for s in near]
+    gone = site_lines(page["lines"], page["kinds"], [common for common, same in aligned if not is_copy(page["lines"], common, same)])
+    named = named_lines(page["kinds"]) - gone
+    return "\n\n".join(x for i, x in enumerate(page["lines"]) if i not in gone and i not in named), len(gone), len(named)
+
+
 def extract(pages: DataFrame, key: str = "page_id", per_range: int = 1000) -> DataFrame:
-    """(key, url, text, n_chars, n_shared) of every page."""
-    spark = pages.sparkSession
-    small_batches(spark, 500)
+    """(key, url, text, n_chars, n_shared, n_named) of every page; other columns are not read."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = (F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)", i) for i in (1, 2))
     rows = pages.select(F.col(key).alias("key"), "url", F.coalesce("html", F.lit("")).alias("html"), F.lower(host).alias("host"), path.alias("path"))
-    # Ranges of (host, path): bounds from a sample of at most about 20 URLs a range.
+    rows = rows.withColumn("at", F.concat_ws("\x01", "host", "path", F.lpad(F.coalesce(F.col("key").cast("string"), F.lit("")), 20, "0")))
+    # Ranges of (host, path): bounds from a sample of about 10 URLs a range, some megabytes at most.
     n = rows.count()
-    ranges = max(1, min(5000, n // per_range))
-    at = F.concat_ws("\x01", "host", "path", F.lpad(F.col("key").cast("string"), 20, "0"))
-    found = sorted(r[0] for r in rows.select(at).sample(min(1.0, 20 * ranges / max(n, 1)), seed=7).limit(40 * ranges).collect()) if ranges > 1 else []
+    ranges = max(1, min(RANGES, n // per_range))
+    found = sorted(r[0] for r in rows.select("at").sample(min(1.0, 10 * ranges / max(n, 1)), seed=7).limit(20 * ranges).collect()) if ranges > 1 else []
     bounds = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
-    rows = rows.withColumn("at", at).withColumn("range", range_of(F.col("at"), bounds))
+
+    def dealt(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array([bisect_right(bounds, x) for x in b.column("at").to_pylist()], pa.int32())], ["at", "range"])
 
     def parse(batches):
         for b in batches:
             parsed = [lines_of(h) for h in b.column("html").to_pylist()]
-            arrays = [b.column(c) for c in ("key", "url", "host", "path", "at", "range")]
+            of = b.column("range").to_pylist()
+            of = [bisect_right(bounds, x) if r is None else r for x, r in zip(b.column("at").to_pylist(), of)]
+            arrays = [b.column(c) for c in ("key", "url", "host", "path", "at")] + [pa.array(of, pa.int32()), pa.compute.is_valid(b.column("range"))]
             arrays += [pa.array([p[0] for p in parsed], pa.list_(pa.string())), pa.array([p[1] for p in parsed], pa.list_(pa.int32())), pa.array([_hashes(p[0]) for p in parsed], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "url", "host", "path", "at", "range", "lines", "kinds", "hashes"])
+            yield pa.RecordBatch.from_arrays(arrays, NAMES)
 
+    NAMES = ["key", "url", "host", "path", "at", "range", "copy", "lines", "kinds", "hashes"]
     kind = dict(rows.dtypes)["key"]
-    schema = f"key {kind}, url string, host string, path string, at string, range int, lines array<string>, kinds array<int>, hashes array<long>"
-    near = F.struct("host", "path", "hashes")
-    # What stands before and after each range: two rows a range, at most 10,000.
-    ends = rows.groupBy("range").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    edge = rows.join(F.broadcast(ends), "range").where((F.col("at") == F.col("first")) | (F.col("at") == F.col("last"))).select(*rows.columns)
-    edge = edge.mapInArrow(parse, schema).groupBy("range").agg(F.min(F.struct("at", near.alias("x")))["x"].alias("head"), F.max(F.struct("at", near.alias("x")))["x"].alias("tail"))
+    schema = f"key {kind}, url string, host string, path string, at string, range int, copy boolean, lines array<string>, kinds array<int>, hashes array<long>"
+    # Every range also gets copies of the last page before it and of the first after it: two rows a range.
+    ends = keep(rows.select("at").mapInArrow(dealt, "at string, range int").groupBy("range").agg(F.min("at").alias("first"), F.max("at").alias("last")), "pages-ends")
     order = W.orderBy("range")
-    edge = edge.select("range", F.lag("tail").over(order).alias("tail"), F.lead("head").over(order).alias("head"))
-    inside = W.partitionBy("range").orderBy("at")
-    d = rows.mapInArrow(parse, schema).withColumns({"before": F.lag(near).over(inside), "after": F.lead(near).over(inside)})
-    d = d.join(F.broadcast(edge), "range", "left")
-    d = d.select("key", "url", "host", "path", "lines", "kinds", "hashes", F.coalesce("before", "tail").alias("before"), F.coalesce("after", "head").alias("after"))
+    ends = ends.select(F.struct(F.col("first").alias("at"), F.lag("range").over(order).alias("range")).alias("a"), F.struct(F.col("last").alias("at"), F.lead("range").over(order).alias("range")).alias("b"))
+    ends = ends.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").where("range IS NOT NULL")
+    copies = rows.join(F.broadcast(ends), "at").select(*rows.columns, "range")
+    both = rows.withColumn("range", F.lit(None).cast("int")).union(copies).mapInArrow(parse, schema)
+    laid = both.repartition("range").sortWithinPartitions("range", "at", "hashes")
 
     def difference(batches):
+        """Streams pages in order; each is judged when the one after it is known."""
+        out: list[tuple] = []
+
+        def judge(before, page, after) -> None:
+            if page is not None and not page["copy"]:
+                sides = [s for s in (before, after) if s and s["range"] == page["range"] and s["host"] == page["host"]]
+                out.append((page["key"], page["url"], *main_text(page, sides)))
+
+        def batch():
+            cols = list(zip(*out)) if out else [[]] * 5
+            types = (key_type, pa.string(), pa.string(), pa.int32(), pa.int32())
+            k, u, texts, gone, named = (pa.array(c, t) for c, t in zip(cols, types))
+            out.clear()
+            return pa.RecordBatch.from_arrays([k, u, texts, pa.compute.utf8_length(texts).cast(pa.int64()), gone, named], [key, "url", "text", "n_chars", "n_shared", "n_named"])
+
+        before = page = None
         for b in batches:
-            texts, counts = [], []
-            for r in b.select(["host", "path", "lines", "kinds", "hashes", "before", "after"]).to_pylist():
-                sides = [s for s in (r["before"], r["after"]) if s and s["host"] == r["host"]]
-                sides.sort(key=lambda s: -_prefix(s["path"], r["path"]))
-                aligned = [(shared(r["hashes"], s["hashes"]), s["path"] == r["path"]) for s in sides]
-                telling = [common for common, same in aligned if not is_copy(r["lines"], common, same)]
-                texts.append(main_text(r["lines"], r["kinds"], site_lines(r["lines"], r["kinds"], telling)))
-                counts.append(len(aligned[0][0]) if aligned else 0)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.int32())], [key, "url", "text", "n_chars", "n_shared"])
-
-    return d.mapInArrow(difference, f"`{key}` {kind}, url string, text string, n_chars long, n_shared int")
+            key_type = b.schema.field("key").type
+            for i in range(0, b.num_rows, 100):
+                for after in b.slice(i, 100).to_pylist():
+                    judge(before, page, after)
+                    before, page = page, after
+                yield batch()
+        if page is not None:
+            judge(before, page, None)
+            yield batch()
+
+    return laid.mapInArrow(difference, f"`{key}` {kind}, url string, text string, n_chars long, n_shared int, n_named int")
