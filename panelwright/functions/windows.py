@@ -5,6 +5,8 @@ one exchange, one sort and one Window node. `min_rows` gives NULL until that man
 """
 from __future__ import annotations
 
+import math
+
 KEY, ORDER = "symbol", "trade_date"
 
 
@@ -60,13 +62,27 @@ def ratio(a: str, b: str) -> str:
     return f"(({a}) / nullif(({b}), 0))"
 
 
-def ewm(x: str, alpha: str, row: str = "i") -> str:
-    """Recursive mean y0 = x0, y = (1 - a) y + a x, as a scaled running sum; `row` numbers a key's rows from 0.
+def recursive(start: int = 0, **means: tuple) -> list[dict[str, str]]:
+    """Stages that add recursive means y = (1 - a) y + a x, one for each name = (x, a) or (x, a, seed); needs the row number `i`.
 
-    (1 - a)**-i must not overflow: keys of up to about 709 / -ln(1 - a) rows.
+    The first value, at row `start`, is x or the seed (SQL text); null before it. A key's rows are taken in blocks so
+    short that (1 - a)**-rows stays below 1e18: inside a block a scaled running sum, plus
+    the last value of the block before it, decayed. What is older than two blocks weighs
+    under 1e-18 and is left out, so keys may have any number of rows.
     """
-    d = f"(1 - {alpha})"
-    return f"(power({d}, {row}) * {running('sum', f'(CASE WHEN {row} = 0 THEN {x} ELSE {alpha} * ({x}) * power({d}, -{row}) END)')})"
+    blocks, sums, out = {}, {}, {}
+    for name, (x, a, *seed) in means.items():
+        d = 1 - a
+        rows = math.ceil(math.log(1e18) / -math.log(d))
+        i = f"(i - {start})" if start else "i"
+        at = f"({i} - {name}_b * {rows})"
+        first = seed[0] if seed else x
+        blocks[f"{name}_b"] = f"CAST(floor({i} / {rows}) AS INTEGER)"
+        scaled = f"(CASE WHEN {i} < 0 THEN NULL WHEN {i} = 0 THEN {first} ELSE {a!r} * ({x}) * power({d!r}, -{at}) END)"
+        sums[f"{name}_l"] = f"(power({d!r}, {at}) * sum({scaled}) {over(RUN, f'{KEY}, {name}_b')})"
+        last = f"max_by({name}_l, i) {over('RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING', order=f'{name}_b')}"
+        out[name] = f"({name}_l + coalesce({last}, 0.0) * power({d!r}, {at} + 1))"
+    return [blocks, sums, out]
 
 
 def wma(x: str, n: int, row: str = "i") -> str:

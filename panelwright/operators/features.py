@@ -5,7 +5,7 @@ Every family is a `Stages`: columns over one (symbol, trade_date) window per sta
 """
 from __future__ import annotations
 
-from ..functions.windows import ahead, back, before, clip, ewm, flag, lag, over, ratio, roll, roll2, running, wma
+from ..functions.windows import back, before, clip, flag, lag, over, ratio, recursive, roll, roll2, running, wma
 from .spec import Stages
 
 ROW = {"i": f"CAST(row_number() {over()} - 1 AS DOUBLE)"}
@@ -20,23 +20,34 @@ def _stage(source: str, *stages: dict[str, str], keep: str, **more) -> Stages:
 def moving_averages() -> Stages:
     ma = {f"ma{n}": roll("avg", "close", n, n // 2) for n in (5, 10, 20, 60, 120)}
     out = {f"ma_ratio_{n}": f"{ratio('close', f'ma{n}')} - 1" for n in (5, 10, 20, 60, 120)}
-    out |= {"ma5_ma20": f"{ratio('ma5', 'ma20')} - 1", "ma20_ma60": f"{ratio('ma20', 'ma60')} - 1", "bias_5": f"100 * ({ratio('close', 'ma5')} - 1)"}
+    out |= {"ma5_ma20": f"{ratio('ma5', 'ma20')} - 1", "ma20_ma60": f"{ratio('ma20', 'ma60')} - 1"} | {f"bias_{n}": f"100 * ({ratio('close', f'ma{n}')} - 1)" for n in (5, 10, 20)}
     return _stage("bars", ma, out, keep=" ".join(out))
 
 
+A12, A26, A9, A14 = 2 / 13, 2 / 27, 0.2, 1 / 14
+
+
 def macd() -> Stages:
-    return _stage("bars", ROW, {"e12": ewm("close", "0.15384615384615385"), "e26": ewm("close", "0.07407407407407407")}, {"dif": "e12 - e26"}, {"dea": ewm("dif", "0.2")}, {"hist": "2 * (dif - dea)"}, keep="dif dea hist")
+    """From the first close on, and with means seeded by the plain means of 12, 26 and 9 rows (null before row 25, dea_ta and macd_hist before row 33)."""
+    seed = {f"m{n}": f"avg(close) {over(back(n))}" for n in (12, 26)}
+    ta = recursive(25, t12=("close", A12, "m12"), t26=("close", A26, "m26"))
+    plain = recursive(e12=("close", A12), e26=("close", A26))
+    both = [a | b for a, b in zip(plain, ta)]
+    signal = [a | b for a, b in zip(recursive(dea=("dif", A9)), recursive(33, dea_ta=("macd", A9, "m9")))]
+    return _stage("bars", ROW | seed, *both, {"dif": "e12 - e26", "macd": "t12 - t26"}, {"m9": f"avg(macd) {over(back(9))}"}, *signal, {"hist": "2 * (dif - dea)", "macd_hist": "macd - dea_ta"}, keep="dif dea hist macd dea_ta macd_hist")
 
 
 def rsi() -> Stages:
+    """Ratio RSI of 6, 14 and 24 rows, Wilder's, and the one whose weights are divided by their sum (rsi_adjusted)."""
     stages: list[dict[str, str]] = [PREV | ROW, {"up": "(CASE WHEN close > pc THEN close - pc ELSE 0.0 END)", "down": "(CASE WHEN close < pc THEN pc - close ELSE 0.0 END)"}]
-    stages.append({f"{k}{n}": roll("avg", k, n) for k in ("up", "down") for n in (6, 14)} | {"wu": ewm("up", "0.07142857142857142"), "wd": ewm("down", "0.07142857142857142")})
-    stages.append({f"rsi_{n}": f"100 * {ratio(f'up{n}', f'up{n} + down{n}')}" for n in (6, 14)} | {"rsi_wilder": f"100 * {ratio('wu', 'wu + wd')}"})
-    return _stage("bars", *stages, keep="rsi_6 rsi_14 rsi_wilder")
+    stages.append({f"{k}{n}": roll("avg", k, n) for k in ("up", "down") for n in (6, 14, 24)})
+    stages += recursive(wu=("up", A14), wd=("down", A14), au=("up", A14, "up / 14"), ad=("down", A14, "down / 14"))
+    stages.append({f"rsi_{n}": f"100 * {ratio(f'up{n}', f'up{n} + down{n}')}" for n in (6, 14, 24)} | {"rsi_wilder": f"100 * {ratio('wu', 'wu + wd')}", "rsi_adjusted": f"100 * {ratio('au', 'au + ad')}", "mean_up": f"au / (1 - power({1 - A14!r}, i + 1))"})
+    return _stage("bars", *stages, keep="rsi_6 rsi_14 rsi_24 rsi_wilder rsi_adjusted mean_up")
 
 
 def kdj() -> Stages:
-    return _stage("bars", ROW | {"lo9": roll("min", "low", 9, 1), "hi9": roll("max", "high", 9, 1)}, {"rsv": f"coalesce(100 * {ratio('close - lo9', 'hi9 - lo9')}, 50.0)"}, {"k": ewm("rsv", "0.3333333333333333")}, {"d": ewm("k", "0.3333333333333333")}, {"j": "3 * k - 2 * d"}, keep="rsv k d j")
+    return _stage("bars", ROW | {"lo9": roll("min", "low", 9, 1), "hi9": roll("max", "high", 9, 1)}, {"rsv": f"coalesce(100 * {ratio('close - lo9', 'hi9 - lo9')}, 50.0)"}, *recursive(k=("rsv", 1 / 3)), *recursive(d=("k", 1 / 3)), {"j": "3 * k - 2 * d"}, keep="rsv k d j")
 
 
 def bollinger() -> Stages:
@@ -45,7 +56,7 @@ def bollinger() -> Stages:
 
 
 def atr() -> Stages:
-    return _stage("bars", PREV | ROW, {"tr": "greatest(high - low, abs(high - coalesce(pc, low)), abs(low - coalesce(pc, high)))"}, {"atr_14": roll("avg", "tr", 14), "atr_w": ewm("tr", "0.07142857142857142")}, {"atr_pct": ratio("atr_14", "close"), "natr_14": f"100 * {ratio('atr_w', 'close')}"}, keep="tr atr_14 atr_pct natr_14")
+    return _stage("bars", PREV | ROW, {"tr": "greatest(high - low, abs(high - coalesce(pc, low)), abs(low - coalesce(pc, high)))"}, {"atr_14": roll("avg", "tr", 14)}, *recursive(atr_w=("tr", A14)), {"atr_pct": ratio("atr_14", "close"), "natr_14": f"100 * {ratio('atr_w', 'close')}"}, keep="tr atr_14 atr_pct natr_14")
 
 
 def adx() -> Stages:
@@ -69,7 +80,7 @@ def cci() -> Stages:
 
 def range_position() -> Stages:
     s = {f"lo{n}": roll("min", "low", n) for n in (14, 20, 60)} | {f"hi{n}": roll("max", "high", n) for n in (14, 20, 60)}
-    below = " + ".join(flag(f"{lag('close', k)} <= close") for k in range(1, 20))
+    below = " + ".join(f"{flag(f'{lag("close", k)} < close')} + {flag(f'{lag("close", k)} = close')} / 2" for k in range(1, 20))
     out = {"wr_14": f"-100 * {ratio('hi14 - close', 'hi14 - lo14')}", "rsv_20": ratio("close - lo20", "hi20 - lo20"), "channel_pos_60": ratio("close - lo60", "hi60 - lo60"), "rank_20": f"(CASE WHEN lo20 IS NOT NULL THEN (1 + {below}) / 20 END)"}
     return _stage("bars", s, out, keep=" ".join(out))
 
@@ -79,7 +90,7 @@ def mfi() -> Stages:
 
 
 def trix() -> Stages:
-    e = [{f"e{k + 1}": ewm(f"e{k}" if k else "close", "0.15384615384615385")} for k in range(3)]
+    e = [stage for k in range(3) for stage in recursive(**{f"e{k + 1}": (f"e{k}" if k else "close", A12)})]
     ma = {"f": roll("avg", "close", 12), "s": roll("avg", "close", 26)}
     return _stage("bars", ROW, *e, {"trix": f"100 * ({ratio('e3', lag('e3'))} - 1)"} | ma, {"apo": "f - s", "ppo": f"100 * {ratio('f - s', 's')}"}, keep="trix apo ppo")
 
@@ -105,13 +116,12 @@ def volume_price() -> Stages:
 def on_balance() -> Stages:
     first = PREV | ROW | {"clv": f"coalesce({ratio('2 * close - high - low', 'high - low')}, 0.0) * vol"}
     sign = {"sv": "(CASE WHEN close > pc THEN vol WHEN close < pc THEN -vol ELSE 0.0 END)", "ad": running("sum", "clv")}
-    last = {"obv": running("sum", "sv"), "e3": ewm("ad", "0.18181818181818182"), "e10": ewm("ad", "0.09523809523809523")}
-    return _stage("bars", first, sign, last, {"obv_diff_20": f"obv - {lag('obv', 20)}", "adosc": "e3 - e10"}, keep="obv ad obv_diff_20 adosc", digits=3)
+    return _stage("bars", first, sign, {"obv": running("sum", "sv")}, *recursive(e3=("ad", 2 / 11), e10=("ad", 2 / 21)), {"obv_diff_20": f"obv - {lag('obv', 20)}", "adosc": "e3 - e10"}, keep="obv ad obv_diff_20 adosc", digits=3)
 
 
 def regression() -> Stages:
-    s = {"lr_slope_20": roll2("regr_slope", "close", "i", 20), "lr_slope_60": roll2("regr_slope", "close", "i", 60), "lr_r2_60": roll2("regr_r2", "close", "i", 60)}
-    return _stage("bars", ROW, s, {"lr_angle_20": "degrees(atan(lr_slope_20))", "slope_pct_20": f"100 * {ratio('lr_slope_20', 'close')}"}, keep="lr_slope_20 lr_slope_60 lr_r2_60 lr_angle_20 slope_pct_20")
+    s = {"lr_slope_20": roll2("regr_slope", "close", "i", 20), "lr_slope_60": roll2("regr_slope", "close", "i", 60), "lr_r2_60": roll2("regr_r2", "close", "i", 60), "su": roll("sum", "greatest(close - pc, 0.0)", 14), "sd": roll("sum", "greatest(pc - close, 0.0)", 14)}
+    return _stage("bars", ROW | PREV, s, {"lr_angle_20": "degrees(atan(lr_slope_20))", "slope_pct_20": f"100 * {ratio('lr_slope_20', 'close')}", "rsi": f"100 * {ratio('su', 'su + sd')}"}, {"rsi_slope_5": roll2("regr_slope", "rsi", "i", 5)}, keep="lr_slope_20 lr_slope_60 lr_r2_60 lr_angle_20 slope_pct_20 rsi_slope_5")
 
 
 def breakouts() -> Stages:
@@ -131,12 +141,13 @@ def limit_runs(limit: float = 3.0) -> Stages:
 
 def quantile_bands() -> Stages:
     q = {"q8": f"percentile(close, 0.8) {over(back(20))}", "q2": f"percentile(close, 0.2) {over(back(20))}", "n": f"count(close) {over(back(20))}"}
-    return _stage("bars", q, {"qtlu_20": f"(CASE WHEN n >= 20 THEN {ratio('q8', 'close')} END)", "qtld_20": f"(CASE WHEN n >= 20 THEN {ratio('q2', 'close')} END)"}, keep="qtlu_20 qtld_20")
+    return _stage("bars", q, {"qtlu_20": f"(CASE WHEN n >= 20 THEN {ratio('q8', 'close')} - 1 END)", "qtld_20": f"(CASE WHEN n >= 20 THEN {ratio('q2', 'close')} - 1 END)"}, keep="qtlu_20 qtld_20")
 
 
 def since_extremes() -> Stages:
+    """Rows since the highest and the lowest close of 20 rows, the earliest of equals, and the rows between them."""
     f = over(back(20))
-    s = {"hi": f"max_by(i, struct(high, -i)) {f}", "lo": f"max_by(i, struct(-low, -i)) {f}", "n": f"count(close) {f}"}
+    s = {"hi": f"max_by(i, struct(close, -i)) {f}", "lo": f"max_by(i, struct(-close, -i)) {f}", "n": f"count(close) {f}"}
     return _stage("bars", ROW, s, {"imax_20": "(CASE WHEN n >= 20 THEN i - hi END)", "imin_20": "(CASE WHEN n >= 20 THEN i - lo END)", "imxd_20": "(CASE WHEN n >= 20 THEN hi - lo END)"}, keep="imax_20 imin_20 imxd_20")
 
 
@@ -152,8 +163,9 @@ def up_down_counts() -> Stages:
 def aroon() -> Stages:
     f = over(back(15))
     s = {"hi": f"max_by(i, struct(high, -i)) {f}", "lo": f"max_by(i, struct(-low, -i)) {f}", "n": f"count(close) {f}", "su": roll("sum", "greatest(close - pc, 0.0)", 14), "sd": roll("sum", "greatest(pc - close, 0.0)", 14)}
-    out = {"aroon_up": "(CASE WHEN n >= 15 THEN 100 * (14 - (i - hi)) / 14 END)", "aroon_dn": "(CASE WHEN n >= 15 THEN 100 * (14 - (i - lo)) / 14 END)"}
-    return _stage("bars", ROW | PREV, s, out, {"aroon_osc": "aroon_up - aroon_dn", "cmo_14": f"100 * {ratio('su - sd', 'su + sd')}"}, keep="aroon_up aroon_dn aroon_osc cmo_14")
+    out = {"aroon_up": "(CASE WHEN n >= 15 THEN 100 * (14 - (i - hi)) / 14 END)", "aroon_dn": "(CASE WHEN n >= 15 THEN 100 * (14 - (i - lo)) / 14 END)", "rsi": f"round(100 * {ratio('su', 'su + sd')}, 9)"}
+    stoch = {"stochrsi_k": f"100 * {ratio('rsi - ' + roll('min', 'rsi', 14), roll('max', 'rsi', 14) + ' - ' + roll('min', 'rsi', 14))}"}
+    return _stage("bars", ROW | PREV, s, out, {"aroon_osc": "aroon_up - aroon_dn", "cmo_14": f"100 * {ratio('su - sd', 'su + sd')}"} | stoch, {"stochrsi_d": roll("avg", "stochrsi_k", 3)}, keep="aroon_up aroon_dn aroon_osc cmo_14 stochrsi_k stochrsi_d")
 
 
 def heikin_ashi() -> Stages:
@@ -182,7 +194,7 @@ def flow_events() -> Stages:
     first = NET | PREV
     s = MAIN | PCT
     t = {"f1": roll("sum", "(CASE WHEN pct < 0 AND main_net > 0 THEN main_net ELSE 0.0 END)", 20, 10), "f2": roll("sum", "(CASE WHEN pct > 0 AND main_net < 0 THEN -main_net ELSE 0.0 END)", 20, 10), "f3": roll("sum", "(CASE WHEN pct > 0.02 AND main_net > 0 THEN main_net ELSE 0.0 END)", 20, 10), "f4": "(sign(main_net) - sign(sm_net)) * pct", "f6": ratio("main_net", f"avg(amount) {over(back(20))} / 1e5")}
-    return _stage("panel_flow", first, s, t, *_runs("main_net > 0 AND abs(pct) < 0.01", "f7"), *_runs("main_net < 0 AND abs(pct) < 0.01", "f8"), keep="f1 f2 f3 f4 f6 f7 f8")
+    return _stage("panel_flow", first, s, t, {"f5": f"(CASE WHEN count(main_net) {over(back(60))} >= 20 THEN ({' + '.join(flag(f'{lag('main_net', k)} < main_net') for k in range(1, 60))}) / (count(main_net) {over(back(60))} - 1) END)"}, *_runs("main_net > 0 AND abs(pct) < 0.01", "f7"), *_runs("main_net < 0 AND abs(pct) < 0.01", "f8"), keep="f1 f2 f3 f4 f5 f6 f7 f8")
 
 
 def flow_runs() -> Stages:
@@ -190,14 +202,18 @@ def flow_runs() -> Stages:
 
 
 def flow_trend() -> Stages:
-    s = {"mfk_ma5": roll("avg", "main_net", 5, 3), "mfk_ma20": roll("avg", "main_net", 20, 10), "e12": ewm("main_net", "0.15384615384615385"), "e26": ewm("main_net", "0.07407407407407407")}
-    u = {"mfk_diff": "mfk_ma5 - mfk_ma20", "mfk_macd": "e12 - e26", "mfk_sync": roll2("corr", "main_net", "pct", 20), "mfk_velocity": f"main_net - {lag('main_net', 5)}"}
-    return _stage("panel_flow", NET | PREV | ROW, MAIN | PCT, s, u, {"mfk_signal": ewm("mfk_macd", "0.2")}, *_runs("mfk_diff > 0", "mfk_days_above"), {"mfk_hist": "mfk_macd - mfk_signal"}, keep="mfk_ma5 mfk_ma20 mfk_diff mfk_macd mfk_signal mfk_hist mfk_sync mfk_velocity mfk_days_above")
+    """Means and their crossing, MACD with zero distance, RSI spread of large and small flow, pyramid, velocity, correlations with the price (also led by five rows), rank in 60 rows; all on net flow."""
+    s = {"mfk_ma5": roll("avg", "main_net", 5, 3), "mfk_ma20": roll("avg", "main_net", 20, 10)} | {f"{k}{w}": roll("sum", f"greatest({'' if w == 'u' else '-'}{n}, 0.0)", 14) for k, n in (("m", "main_net"), ("s", "sm_net")) for w in ("u", "d")}
+    u = {"mfk_diff": "mfk_ma5 - mfk_ma20", "mfk_macd": "e12 - e26", "mfk_sync": roll2("corr", "main_net", "pct", 20), "mfk_lead5": roll2("corr", "m5", "pct", 20), "mfk_velocity": "main_net - m5", "mfk_spread": f"100 * {ratio('mu', 'mu + md')} - 100 * {ratio('su', 'su + sd')}", "mfk_pyramid": ratio("elg_net - sm_net", "abs(elg_net) + abs(lg_net) + abs(mid_net) + abs(sm_net)"), "mfk_zero_dist": ratio("e12 - e26", "abs(e12) + abs(e26)")}
+    less = " + ".join(flag(f"{lag('main_net', k)} < main_net") for k in range(1, 60))
+    cross = {"mfk_cross": f"(CASE WHEN mfk_diff > 0 AND {lag('mfk_diff')} <= 0 THEN 1 WHEN mfk_diff <= 0 AND {lag('mfk_diff')} > 0 THEN -1 ELSE 0 END)", "mfk_strength": ratio("mfk_diff", "abs(mfk_ma20) + 0.001"), "mfk_rank60": f"(CASE WHEN count(main_net) {over(back(60))} >= 20 THEN ({less}) / (count(main_net) {over(back(60))} - 1) END)"}
+    return _stage("panel_flow", NET | PREV | ROW, MAIN | PCT, {"m5": lag("main_net", 5)}, *recursive(e12=("main_net", A12), e26=("main_net", A26)), s, u, *recursive(mfk_signal=("mfk_macd", A9)), *_runs("mfk_diff > 0", "mfk_days_above"), {"mfk_hist": "mfk_macd - mfk_signal"} | cross, keep="mfk_ma5 mfk_ma20 mfk_diff mfk_cross mfk_strength mfk_macd mfk_signal mfk_hist mfk_zero_dist mfk_spread mfk_pyramid mfk_sync mfk_lead5 mfk_velocity mfk_rank60 mfk_days_above")
 
 
 def pyramid() -> Stages:
-    s = {f"p{n}": ratio(f"sum(main_net) {over(back(n))}", f"abs(sum(sm_net) {over(back(n))}) + 0.001") for n in (5, 10, 20, 60)}
-    return _stage("flow", NET, MAIN, s, {f"pyr_{n}d": clip(f"p{n}", -100.0, 100.0) for n in (5, 10, 20, 60)}, {"pyr_acc_5_20": "pyr_5d - pyr_20d", "pyr_velocity_10_60": "pyr_10d - pyr_60d"}, keep="pyr_5d pyr_10d pyr_20d pyr_60d pyr_acc_5_20 pyr_velocity_10_60")
+    s = {f"p{n}": ratio(f"sum(main_net) {over(back(n))}", f"abs(sum(sm_net) {over(back(n))}) + 0.001") for n in (5, 10, 20, 30, 60)}
+    speed = {f"pyr_velocity_{a}_{b}": f"pyr_{a}d - pyr_{b}d" for a, b in ((10, 60), (5, 60), (10, 30), (20, 60), (5, 30))}
+    return _stage("flow", NET, MAIN, s, {f"pyr_{n}d": clip(f"p{n}", -100.0, 100.0) for n in (5, 10, 20, 30, 60)}, {"pyr_acc_5_20": "pyr_5d - pyr_20d"} | speed, keep="pyr_5d pyr_10d pyr_20d pyr_60d pyr_acc_5_20 " + " ".join(speed))
 
 
 def flow_thresholds() -> Stages:
@@ -220,9 +236,10 @@ def amount() -> Stages:
 def market_regime() -> Stages:
     s = PREV | {f"ret_{n}": f"{ratio('close', lag('close', n))} - 1" for n in (5, 20, 60)} | {"ma60": roll("avg", "close", 60), "mid": roll("avg", "close", 20), "sd": roll("stddev_samp", "close", 20), "vol_ratio": ratio("vol", roll("avg", "vol", 20)), "vm": roll("avg", "vol", 60), "vs": roll("stddev_samp", "vol", 60)}
     t = PCT | {"ma60_slope": f"{ratio('ma60', lag('ma60', 20))} - 1", "boll_width": ratio("4 * sd", "mid"), "vol_z60": ratio("vol - vm", "vs")}
-    u = {"sigma_20": roll("stddev_samp", "pct", 20)}
+    t |= {"gains": roll("sum", "greatest(close - pc, 0.0)", 14), "losses": roll("sum", "greatest(pc - close, 0.0)", 14)}
+    u = {"sigma_20": roll("stddev_samp", "pct", 20), "rsi_14": f"100 * {ratio('gains', 'gains + losses')}"}
     c = {"regime": "(CASE WHEN ret_60 IS NULL OR ma60_slope IS NULL THEN 0 WHEN ret_20 > 0.02 AND ma60_slope > 0 THEN 1 WHEN ret_20 > 0 THEN 2 WHEN ret_20 < -0.02 AND ma60_slope < 0 THEN 3 WHEN ret_20 < 0 THEN 4 ELSE 5 END)"}
-    return _stage("market", s, t, u, c, keep="ret_5 ret_20 ret_60 ma60_slope boll_width vol_ratio vol_z60 sigma_20 regime")
+    return _stage("market", s, t, u, c, keep="ret_5 ret_20 ret_60 ma60_slope boll_width vol_ratio vol_z60 sigma_20 rsi_14 regime")
 
 
 def regime_spells() -> Stages:
@@ -233,7 +250,7 @@ def regime_spells() -> Stages:
 
 
 def zombie() -> Stages:
-    return _stage("bars", {"ma60": roll("avg", "close", 60, 30)}, {"near": f"(CASE WHEN ma60 IS NULL THEN NULL WHEN abs({ratio('close', 'ma60')} - 1) <= 0.01 THEN 1.0 ELSE 0.0 END)", "ma60_slope": f"{ratio('ma60', lag('ma60', 20))} - 1"}, {"zombie_share": roll("avg", "near", 20, 10)}, {"is_zombie": flag("zombie_share >= 0.5 AND abs(ma60_slope) < 0.005")}, keep="zombie_share ma60_slope is_zombie")
+    return _stage("bars", {"ma60": roll("avg", "close", 60, 30)}, {"near": f"(CASE WHEN ma60 IS NULL THEN NULL WHEN abs({ratio('close', 'ma60')} - 1) <= 0.05 THEN 1.0 ELSE 0.0 END)", "ma60_slope": f"{ratio('ma60', lag('ma60', 20))} - 1"}, {"zombie_share": roll("avg", "near", 20, 10)}, {"is_zombie": flag("zombie_share >= 0.5 AND abs(ma60_slope) < 0.005")}, keep="zombie_share ma60_slope is_zombie")
 
 
 def price_channel() -> Stages:
@@ -248,7 +265,7 @@ def ichimoku() -> Stages:
 def quant_alpha() -> Stages:
     s = PREV | {"tr": "high - low"}
     t = PCT | {"a5": roll("avg", "tr", 5), "a20": roll("avg", "tr", 20), "h60": roll("max", "high", 60)}
-    u = {"atr_convergence": ratio("a5", "a20"), "near_high_60": ratio("close", "h60"), "volatility_20": f"{roll('stddev_samp', 'pct', 20)} * sqrt(252)", "volume_ratio_5_20": ratio(roll("avg", "vol", 5), roll("avg", "vol", 20))}
+    u = {"avg_amount_20": roll("avg", "amount", 20), "amount_ratio": ratio("amount", roll("avg", "amount", 20)), "atr_convergence": ratio("a5", "a20"), "near_high_60": ratio("close", "h60"), "volatility_20": f"{roll('stddev_samp', 'pct', 20)} * sqrt(252)", "volume_ratio_5_20": ratio(roll("avg", "vol", 5), roll("avg", "vol", 20))}
     return _stage("bars", s, t, u, keep=" ".join(u))
 
 
@@ -261,18 +278,20 @@ def relative_strength() -> Stages:
     """Needs a column `peer`, the benchmark's close."""
     s = {"rs": ratio("close", "peer")}
     t = {"rs_ma20": roll("avg", "rs", 20), "rs_mom_10": f"{ratio('rs', lag('rs', 10))} - 1", "excess_20": f"{ratio('close', lag('close', 20))} - {ratio('peer', lag('peer', 20))}", "rs_high_60": flag(f"rs >= max(rs) {over(back(60))}"), "rs_low_60": flag(f"rs <= min(rs) {over(back(60))}")}
-    return _stage("with_peer", s, t, {"rs_trend": "(CASE WHEN rs > rs_ma20 THEN 1 WHEN rs < rs_ma20 THEN -1 ELSE 0 END)"}, keep="rs rs_ma20 rs_mom_10 excess_20 rs_high_60 rs_low_60 rs_trend")
+    t["peer_high_60"] = flag(f"close >= max(close) {over(back(60))}")
+    return _stage("with_peer", s, t, {"rs_divergence": "(CASE WHEN peer_high_60 > 0 AND rs_high_60 = 0 THEN -1 WHEN peer_high_60 = 0 AND rs_high_60 > 0 THEN 1 ELSE 0 END)", "rs_trend": "(CASE WHEN rs > rs_ma20 THEN 1 WHEN rs < rs_ma20 THEN -1 ELSE 0 END)"}, keep="rs rs_ma20 rs_mom_10 excess_20 rs_high_60 rs_low_60 rs_divergence rs_trend")
 
 
 def hourly_signals() -> Stages:
-    s = PREV | ROW | {"ma5": roll("avg", "close", 5), "ma20": roll("avg", "close", 20), "v3": roll("avg", "vol", 3), "v20": roll("avg", "vol", 20)}
-    return _stage("bars", s, {"slope_5": f"{ratio('ma5', lag('ma5', 3))} - 1", "above": flag("ma5 > ma20"), "volume_3_20": ratio("v3", "v20")}, {"intraday_score": f"50 + 15 * (2 * above - 1) + {clip('slope_5 * 1000', -15.0, 15.0)} + {clip('(volume_3_20 - 1) * 10', -10.0, 10.0)}"}, keep="slope_5 above volume_3_20 intraday_score")
+    s = PREV | {"ma5": roll("avg", "close", 5), "ma20": roll("avg", "close", 20), "v3": roll("avg", "vol", 3), "v20": roll("avg", "vol", 20)}
+    t = {"slope_5": f"{ratio('ma5', lag('ma5', 3))} - 1", "above": flag("ma5 > ma20"), "volume_3_20": ratio("v3", "v20"), "su": roll("sum", "greatest(close - pc, 0.0)", 14), "sd": roll("sum", "greatest(pc - close, 0.0)", 14)}
+    return _stage("bars", s, t, {"rsi_14": f"100 * {ratio('su', 'su + sd')}", "intraday_score": f"50 + 15 * (2 * above - 1) + {clip('slope_5 * 1000', -15.0, 15.0)} + {clip('(volume_3_20 - 1) * 10', -10.0, 10.0)}"}, keep="slope_5 above volume_3_20 rsi_14 intraday_score")
 
 
 def own_percentile() -> Stages:
-    """Share of the 60 rows before that are strictly below, from 10 rows on."""
-    less = " + ".join(flag(f"{lag('vol', k)} < vol") for k in range(1, 61))
-    return _stage("bars", {"n": f"count(vol) {over(before(60))}"}, {"percentile_own": f"(CASE WHEN n >= 10 THEN ({less}) / n END)"}, keep="percentile_own")
+    """Share of the 120 rows before that are strictly below, from 10 rows on."""
+    less = " + ".join(flag(f"{lag('vol', k)} < vol") for k in range(1, 121))
+    return _stage("bars", {"n": f"count(vol) {over(before(120))}"}, {"percentile_own": f"(CASE WHEN n >= 10 THEN ({less}) / n END)"}, keep="percentile_own")
 
 
 def score_shape() -> Stages:
@@ -307,17 +326,12 @@ def report_change() -> Stages:
     return _stage("bars", out, keep=" ".join(out))
 
 
-def drawdown_60() -> Stages:
-    """Drawdown within the frame: the close against the highest close of the 60 rows, and its worst so far in 60 rows."""
-    return _stage("bars", {"dd": f"{ratio('close', roll('max', 'close', 60, 1))} - 1", "momentum_20": f"{ratio('close', lag('close', 20))} - 1"}, {"max_dd_60": roll("min", "dd", 60, 1)}, keep="dd max_dd_60 momentum_20")
-
-
 FEATURES = {
     "w01_moving_averages": moving_averages, "w02_macd": macd, "w03_rsi": rsi, "w04_kdj": kdj, "w05_bollinger": bollinger, "w06_atr": atr, "w07_adx": adx, "w08_momentum": momentum, "w09_cci": cci,
     "w10_range_position": range_position, "w11_mfi": mfi, "w12_trix": trix, "w13_volume": volume, "w14_candle_shape": candle_shape, "w15_volume_price": volume_price, "w16_on_balance": on_balance,
     "w17_regression": regression, "w18_breakouts": breakouts, "w19_limit_runs": limit_runs, "w20_quantile_bands": quantile_bands, "w21_since_extremes": since_extremes, "w22_price_volume_corr": price_volume_corr,
     "w23_up_down_counts": up_down_counts, "w24_aroon": aroon, "w26_heikin_ashi": heikin_ashi, "w27_flow_sums": flow_sums, "w28_flow_balance": flow_balance, "w29_flow_events": flow_events, "w30_flow_runs": flow_runs,
     "w31_flow_trend": flow_trend, "w32_pyramid": pyramid, "w33_flow_thresholds": flow_thresholds, "w34_impact": impact, "w35_amount": amount, "w36_market_regime": market_regime, "w37_regime_spells": regime_spells,
-    "w38_zombie": zombie, "w39_price_channel": price_channel, "w40_ichimoku": ichimoku, "w41_quant_alpha": quant_alpha, "w42_drawdown": drawdown_60, "w43_relative_strength": relative_strength, "w45_ma_system": ma_system, "w47_hourly_signals": hourly_signals,
+    "w38_zombie": zombie, "w39_price_channel": price_channel, "w40_ichimoku": ichimoku, "w41_quant_alpha": quant_alpha, "w43_relative_strength": relative_strength, "w45_ma_system": ma_system, "w47_hourly_signals": hourly_signals,
     "w48_own_percentile": own_percentile, "w49_score_shape": score_shape, "w51_continuity": continuity, "w52_adjacency": adjacency, "w53_fibonacci": fibonacci, "w54_flow_snapshot": flow_snapshot, "w56_report_change": report_change,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Functions that DuckDB names differently.
-DIALECT = {"percentile(": "quantile_cont(", "struct(": "row("}
+DIALECT = {"percentile(": "quantile_cont(", "struct(": "row(", "max_by(": "arg_max("}
 
 
 @dataclass(frozen=True)

@@ -513,6 +513,16 @@ def w55_market_flow(spark, sf_dir):
     return d.select("trade_date", adj.alias("adj"))
 
 
+@query(f"l AS (SELECT symbol, trade_date, close, lag(close, 20) OVER ({W_}) AS p, list(close) OVER ({W_} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS l FROM bars) SELECT symbol, trade_date, {{list_min(list_transform(range(1, len(l) + 1), lambda k: l[k] / list_max(l[1:k]) - 1)) AS max_dd_60}}, {{close / p - 1 AS momentum_20}} FROM l")
+def w42_drawdown(spark, sf_dir):
+    """The worst fall of the close from its running peak, both within the last 60 rows."""
+    w = P.by_time()
+    d = t(spark, sf_dir, "bars").select("symbol", "trade_date", F.collect_list("close").over(w.rowsBetween(-59, 0)).alias("l"), (F.col("close") / F.lag("close", 20).over(w) - 1).alias("momentum_20"))
+    step = lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], c / F.greatest(a["peak"], c) - 1).alias("dd"))
+    worst = F.aggregate("l", F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd")), step, lambda a: a["dd"])
+    return d.select("symbol", "trade_date", worst.alias("max_dd_60"), "momentum_20")
+
+
 # Portfolios ------------------------------------------------------------------------------------------------
 
 _DATES = "rb AS (SELECT trade_date FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM bars)) WHERE (i - 1) % 4 = 0)"

@@ -93,3 +93,67 @@ def test_take_profit_and_nav(spark):
     assert all(r.outcome == 1.0 for r in d if r.hit)
     n = P.nav(spark.createDataFrame([("a", i, 10.0 if i % 2 else -10.0) for i in range(4)], "book string, trade_date int, r double"), ["book"], "r").orderBy("trade_date").collect()
     assert n[-1].nav == pytest.approx(0.9 * 1.1 * 0.9 * 1.1) and min(r.drawdown for r in n) == pytest.approx(0.9 * 1.1 * 0.9 - 1)
+
+
+def test_recursive_means_of_long_keys_equal_a_loop(spark):
+    import random
+
+    from panelwright.operators import features as W
+
+    r, close = random.Random(3), [100.0]
+    for _ in range(19_999):
+        close.append(max(1.0, close[-1] + r.uniform(-1, 1)))
+    d = spark.createDataFrame([("A", i, c, c + 1, c - 1, c) for i, c in enumerate(close)], "symbol string, trade_date int, open double, high double, low double, close double").selectExpr("*", "1.0D AS vol")
+
+    def means(xs, a, start=0, seed=None):
+        out = [None] * start
+        for i, x in enumerate(xs[start:]):
+            out.append((x if seed is None else seed) if i == 0 else (1 - a) * out[-1] + a * x)
+        return out
+
+    got = sorted(W.macd().apply(d).collect(), key=lambda x: x.trade_date)
+    dif = [a - b for a, b in zip(means(close, W.A12), means(close, W.A26))]
+    dea = means(dif, W.A9)
+    ta = [None] * 25 + [a - b for a, b in zip(means(close, W.A12, 25, sum(close[14:26]) / 12)[25:], means(close, W.A26, 25, sum(close[:26]) / 26)[25:])]
+    signal = means(ta, W.A9, 33, sum(ta[25:34]) / 9)
+    for i in range(0, 20_000, 37):
+        assert got[i].dif == pytest.approx(dif[i], abs=2e-6) and got[i].dea == pytest.approx(dea[i], abs=2e-6)
+        assert (got[i].macd is None) == (i < 25) and (i < 33 or got[i].dea_ta == pytest.approx(signal[i], abs=2e-6))
+    k = means(rsv := [50.0 if min(l) == max(h) else 100 * (c - min(l)) / (max(h) - min(l)) for c, l, h in ((close[i], [x - 1 for x in close[max(0, i - 8) : i + 1]], [x + 1 for x in close[max(0, i - 8) : i + 1]]) for i in range(20_000))], 1 / 3)
+    got = sorted(W.kdj().apply(d).collect(), key=lambda x: x.trade_date)
+    assert all(got[i].rsv == pytest.approx(rsv[i], abs=2e-6) and got[i].k == pytest.approx(k[i], abs=2e-6) for i in range(0, 20_000, 37))
+    got = sorted(W.rsi().apply(d).collect(), key=lambda x: x.trade_date)
+    up, down = ([0.0] + [max(0.0, s * (b - a)) for a, b in zip(close, close[1:])] for s in (1, -1))
+    u, v = means(up, W.A14), means(down, W.A14)
+    assert all(got[i].rsi_wilder == pytest.approx(100 * u[i] / (u[i] + v[i]), abs=2e-6) for i in range(100, 20_000, 37))
+
+
+def test_window_families_equal_loops(spark):
+    """Definitions in plain Python, for the families whose checking SQL comes from the same text."""
+    from panelwright.operators import features as W
+
+    d = bars(spark, 150).selectExpr("*", "1.0D AS vol")
+    rows = sorted(d.collect(), key=lambda x: x.trade_date)
+    c, h, l = ([getattr(r, x) for r in rows] for x in ("close", "high", "low"))
+    of = lambda stages: sorted(stages.apply(d).collect(), key=lambda x: x.trade_date)
+    near = lambda x: pytest.approx(x, abs=2e-6)
+    ma, boll, rank, wr, ext, q = of(W.moving_averages()), of(W.bollinger()), of(W.range_position()), of(W.momentum()), of(W.since_extremes()), of(W.quantile_bands())
+    for i in range(19, 150):
+        last = c[i - 19 : i + 1]
+        m = sum(last) / 20
+        sd = math.sqrt(sum((x - m) ** 2 for x in last) / 20)
+        assert ma[i].ma_ratio_20 == near(c[i] / m - 1) and ma[i].bias_20 == near(100 * (c[i] / m - 1))
+        assert boll[i].boll_up == near(m + 2 * sd)
+        assert rank[i].rank_20 == near((sum(x < c[i] for x in last) + (sum(x == c[i] for x in last) + 1) / 2) / 20)
+        assert ext[i].imax_20 == 19 - last.index(max(last)) and ext[i].imin_20 == 19 - last.index(min(last))
+        s = sorted(last)
+        at = 0.8 * 19
+        assert q[i].qtlu_20 == near((s[int(at)] + (at - int(at)) * (s[int(at) + 1] - s[int(at)])) / c[i] - 1)
+        assert wr[i].roc_10 == near(100 * (c[i] / c[i - 10] - 1))
+    atr, adx = of(W.atr()), of(W.adx())
+    tr = [h[0] - l[0]] + [max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])) for i in range(1, 150)]
+    for i in range(30, 150):
+        assert atr[i].atr_14 == near(sum(tr[i - 13 : i + 1]) / 14)
+        moves = [(h[k] - h[k - 1], l[k - 1] - l[k]) for k in range(i - 13, i + 1)]
+        up, total = sum(u for u, v in moves if u > v and u > 0), sum(tr[i - 13 : i + 1])
+        assert adx[i].pdi == near(100 * up / total)
