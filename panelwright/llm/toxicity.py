@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import small_batches
 from .quality import held_out
 from .wordhash import mixed
 
@@ -304,7 +303,6 @@ def features(model: np.ndarray):
 
 def restored(docs: DataFrame, text: str = "text", into: str = "restored") -> DataFrame:
     """`docs` with the restored text in `into`; null texts stay null, all rows and other columns stay."""
-    small_batches(docs.sparkSession)
     model = log_model(trigrams(docs, text))
 
     def made(texts: pa.Array) -> pa.Array:
@@ -320,9 +318,8 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, into: str =
     The language model counts all documents; the classifier learns from at most `limit` labelled
     rows, none of which is in the held-out fold (crc32 of the key mod 3 is 1).
     """
-    small_batches(docs.sparkSession)
     make = features(log_model(trigrams(docs)))
-    weights = linear.fit(docs, linear.labelled_sample(labels, "toxic", ~held_out("doc_id", 3, 1), limit), make, epochs=8, alpha=2.0, beta=1.0, l1=5.0)
+    weights = linear.fit(docs, linear.labelled_sample(labels, "toxic", ~held_out("doc_id", 3, 1), limit), make, epochs=4, alpha=1.0, beta=1.0, l1=3.0, calibrate=True)
     return linear.score(docs, weights, make, into=into)
 
 
