@@ -18,7 +18,12 @@ def _int(record: Column, k: int) -> Column:
 
 def binary_bars(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, trade_date, open, high, low, close, amount, vol) of fixed-width files named by symbol; records without a date that exists are skipped."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("symbol"), "content", "length")
+    return decoded_bars(spark.read.format("binaryFile").load(path))
+
+
+def decoded_bars(files: DataFrame) -> DataFrame:
+    """The bars of files (path, content), each named by its symbol; a last record that is cut off is skipped."""
+    files = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("symbol"), "content", F.length("content").alias("length"))
     records = files.where(f"length >= {RECORD}").withColumn("k", F.explode(F.expr(f"sequence(0, cast(length div {RECORD} as int) - 1)")))
     record = F.expr(f"substring(content, k * {RECORD} + 1, {RECORD})")
     d = records.select("symbol", record.alias("r"))
@@ -27,6 +32,39 @@ def binary_bars(spark: SparkSession, path: str) -> DataFrame:
     return d.select("symbol", day.alias("trade_date"), *((F.col(c) / 100).alias(c) for c in ("open", "high", "low", "close")), F.col("amount").cast("double").alias("amount"), F.col("vol").cast("double").alias("vol")).where("trade_date IS NOT NULL")
 
 
+def packed_bars(bars: DataFrame) -> DataFrame:
+    """(path, content): each symbol's bars in order of date, as the records that `decoded_bars` reads."""
+    little = lambda x: F.concat(*(F.substring(F.lpad(F.hex(x.cast("long")), 8, "0"), p, 2) for p in (7, 5, 3, 1)))
+    cents = lambda c: F.round(F.col(c) * 100)
+    fields = [F.date_format("trade_date", "yyyyMMdd").cast("long"), *map(cents, ("open", "high", "low", "close")), F.col("amount"), F.col("vol"), F.lit(0)]
+    one = bars.select("symbol", F.struct("trade_date", F.concat(*map(little, fields)).alias("x")).alias("r"))
+    return one.groupBy("symbol").agg(F.array_sort(F.collect_list("r")).alias("rs")).select(F.concat("symbol", F.lit(".day")).alias("path"), F.unhex(F.array_join(F.transform("rs", lambda r: r["x"]), "")).alias("content"))
+
+
+#: Packed five-minute record: bit-packed date, minute of the day, five 32-bit floats, volume, four bytes of nothing.
+PACKED = "<u2,<u2,<f4,<f4,<f4,<f4,<f4,<u4,<u4"
+
+
+def minute_bars(files: DataFrame) -> DataFrame:
+    """(symbol, at, open, high, low, close, amount, vol) of files (symbol, content) of packed records; times that do not exist are skipped."""
+
+    def decode(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for symbol, content in zip(b.column("symbol").to_pylist(), b.column("content").to_pylist()):
+                r = np.frombuffer(content, PACKED, len(content) // 32)
+                cols = [r[f"f{k}"] for k in range(8)]
+                yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(r)), *(pa.array(c.astype(np.int32 if k < 2 else np.float64)) for k, c in enumerate(cols))], ["symbol", "day", "minute", "open", "high", "low", "close", "amount", "vol"])
+
+    d = files.select("symbol", "content").mapInArrow(decode, "symbol string, day int, minute int, open double, high double, low double, close double, amount double, vol double")
+    day, minute = F.col("day"), F.col("minute")
+    date = F.expr("try_to_date(concat_ws('-', shiftright(day, 11) + 2004, lpad(cast(shiftright(day, 7) & 15 AS string), 2, '0'), lpad(cast(day & 31 AS string), 2, '0')), 'yyyy-MM-dd')")
+    at = F.timestamp_seconds(F.unix_timestamp(date.cast("timestamp")) + minute * 60)
+    return d.withColumn("at", F.when(date.isNotNull() & (minute < 1440), at)).where("at IS NOT NULL").select("symbol", "at", *(F.round(c, 2).alias(c) for c in ("open", "high", "low", "close", "amount")), "vol")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; lines that are no JSON are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
