@@ -2,10 +2,12 @@
 
 Each partition's rows are taken in blocks of about `block_chars` bytes. A block's distinct words (a
 space and what follows it up to the next one; where white space meets, the pieces of the
-tokenizer's own split pattern) are dealt by word hash, and every bucket of words
-encodes each distinct word once, whatever number of blocks holds it. The ids go back to
+tokenizer's own split pattern) are dealt by word hash into BUCKETS buckets, and a bucket
+encodes each distinct word once for all blocks of SHARE partitions. The ids go back to
 the blocks that asked and are joined to the words by position. No step holds more than a
-block or a bucket, and their sizes depend on the amount of data in a partition, not on keys.
+block or a bucket of one share; blocks times BUCKETS rows are dealt, so all grows in proportion
+to the data. `decode` joins ids, as rows of any origin, to the id-to-piece table, whose size is
+the vocabulary's, and joins the pieces by position.
 
 Results equal the tokenizers library's on whole texts, special tokens in the text included.
 Null texts are empty and have no ids; repeated rows are encoded like any other.
@@ -16,9 +18,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import small_batches, text_or_empty
 
+#: Buckets of a block's words; partitions whose blocks share a word's encoding.
+BUCKETS, SHARE = 64, 32
 #: White space of the split pattern (Unicode White_Space; the library's \s has no \x1c-\x1f).
 BLANK = "\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
@@ -92,21 +96,17 @@ def opened(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", decoded: str | None = None, block_chars: int = 16_000_000) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", block_chars: int = 16_000_000) -> DataFrame:
     """`df` with array<int> `into`: the ids of each row's whole text. The file at `path` has to be on every executor.
 
     `df` is read twice and has to come in the same partitions both times, as tables do (write
-    other plans to one first); a difference ends in an error, never in wrong ids. Columns
-    already named `into` or `decoded` are replaced; other columns and all rows stay. With
-    `decoded`, what `decode` makes of the ids is added in the same pass.
+    other plans to one first); a difference ends in an error, never in wrong ids. A column
+    already named `into` is replaced; other columns and all rows stay. A text longer than a block is a block.
     """
     path = path or default_path()
-    small_batches(df.sparkSession, 500)
-    df = df.drop(into, *([decoded] if decoded else []))
-    buckets = max(8, 2 * df.rdd.getNumPartitions())
+    df = df.drop(into)
     special_ids = specials(path)
     special = list(special_ids)
-    pieces = pieces_of(path) if decoded else []
 
     def runs(batches):
         """(block, batches) for every run of about block_chars code points of a partition."""
@@ -145,8 +145,8 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str
         order = np.argsort(hashes, kind="stable")
         if len(words) > 1 and (np.diff(hashes[order]) == 0).any():  # no order by hash: by text
             order = np.asarray(sorted(range(len(words)), key=words.__getitem__))
-        out: list[list[str]] = [[] for _ in range(buckets)]
-        for i, bucket in zip(order.tolist(), (hashes[order] % np.uint64(buckets)).tolist()):
+        out: list[list[str]] = [[] for _ in range(BUCKETS)]
+        for i, bucket in zip(order.tolist(), (hashes[order] % np.uint64(BUCKETS)).tolist()):
             out[bucket].append(words[i])
         return out
 
@@ -180,7 +180,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str
         return pa.table([group.column("block"), group.column("bucket"), pa.array(blobs, pa.binary())], ["block", "bucket", "ids"])
 
     columns = df.columns
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{into}` array<int>" + (f", `{decoded}` string" if decoded else "")
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{into}` array<int>"
 
     def by_position(left, right):
         import numpy as np
@@ -215,14 +215,12 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str
                 offsets.append(offsets[-1] + len(got) // 4)
             values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(flat))])
             parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
-        out = pa.Table.from_batches(held, rows.schema).select(columns).append_column(into, pa.chunked_array(parts, pa.list_(pa.int32())))
-        if decoded:
-            join = joiner(pieces)
-            out = out.append_column(decoded, pa.chunked_array([join(p) for p in parts], pa.string()))
-        return out
+        return pa.Table.from_batches(held, rows.schema).select(columns).append_column(into, pa.chunked_array(parts, pa.list_(pa.int32())))
 
     words = df.mapInArrow(gather, "block long, bucket int, words binary")
-    coded = words.groupBy("bucket").applyInArrow(encode_words, "block long, bucket int, ids binary")
+    # The upper bits of a block's number are its partition's.
+    words = words.withColumn("share", F.shiftright("block", 24) / SHARE).withColumn("share", F.floor("share"))
+    coded = words.groupBy("share", "bucket").applyInArrow(encode_words, "block long, bucket int, ids binary")
     packed = df.mapInArrow(pack, "block long, rows binary")
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(by_position, out_schema)
 
@@ -273,12 +271,15 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", into: str =
 
     Null or empty ids give an empty text; bytes that are no UTF-8 give U+FFFD. A column already named `into` is replaced.
     """
-    table = pieces_of(path or default_path())
+    table, df = pieces_of(path or default_path()), df.drop(into)
 
-    def pieces(column: pa.Array) -> pa.Array:
-        return joiner(table)(column)
+    def pieces(batches):
+        join = joiner(table)
+        for b in batches:
+            yield b.append_column(into, join(b.column(ids)))
 
-    return df.withColumn(into, F.arrow_udf(pieces, "string")(F.col(ids)))
+    # Not a UDF column, which would queue whole rows on local disk while it waits.
+    return df.mapInArrow(pieces, StructType([*df.schema.fields, StructField(into, StringType())]))
 
 
 def ids_digest(ids: Column) -> Column:
