@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 SYMBOL, DATE = "symbol", "trade_date"
 CAP_BOUNDS = (50.0, 100.0, 300.0, 1000.0)
 PE_BOUNDS = (0.0, 15.0, 30.0, 50.0, 100.0)
@@ -76,15 +78,20 @@ def rank_bins(x: str, by: list[str], n: int = 5, ties: tuple[str, ...] = (SYMBOL
     return F.when(some, F.greatest(F.lit(1), F.ceil((k - 1) / F.greatest(m - 1, F.lit(1)) * n)).cast("int"))
 
 
+def rank_share(place: str, m: str, n: int = 5) -> Column:
+    """1..n by the share of a place (from 1) among m rows: what `rank_bins` makes of its own window."""
+    return F.greatest(F.lit(1), F.ceil((F.col(place) - 1) / F.greatest(F.col(m) - 1, F.lit(1)) * n)).cast("int")
+
+
 def ranked_in_ranges(d: DataFrame, x: str, into: str, rows: int = 200_000, by: tuple[str, ...] = (), ties: tuple[str, ...] | None = None) -> DataFrame:
     """`d` with `into`, the rank of x among all rows (or within `by`), ties averaged; or with `ties`, its place in the order of x and these columns. Rows without x stay, with null.
 
     No window over everything: rows are dealt into ranges of x at approximate quantiles, so
     that equal values share a range, numbered inside a range, and shifted by the rows of
-    the ranges before it: one small row for each range (and group).
+    the ranges before it: one small row for each range (and group). `d` is written once, in the shared folder.
     """
-    n = d.count()
-    parts = max(1, min(4096, n // rows))
+    d = kept(d, "ranks")
+    parts = max(1, min(4096, d.count() // rows))
     at = F.lit(0)
     if parts > 1:
         bounds = sorted(set(d.stat.approxQuantile(x, [i / parts for i in range(1, parts)], 0.25 / parts)))
@@ -103,6 +110,15 @@ def ranked_in_ranges(d: DataFrame, x: str, into: str, rows: int = 200_000, by: t
     return d.withColumn(into, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")
 
 
+def percentiles(d: DataFrame, x: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact, linearly interpolated percentiles of x over all rows, by name; the rows at their places come from ranges, no task holds all values."""
+    ranked = ranked_in_ranges(d.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x")), "x", "k", ties=())
+    ranked = ranked.join(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    at = {name: (F.col("n") - 1) * float(p) for name, p in shares.items()}
+    part = {name: F.when(F.col("k") - 1 == F.floor(v), 1 - (v - F.floor(v))).when(F.col("k") - 1 == F.floor(v) + 1, v - F.floor(v)) for name, v in at.items()}
+    return ranked.agg(*(F.sum(F.when(w > 0, F.col("x") * w)).alias(name) for name, w in part.items()))
+
+
 def quantile_bins(d: DataFrame, x: str, by: list[str], n: int = 5, name: str = "bin") -> DataFrame:
     """1..n by linear-interpolated quantile edges within `by`, right-closed; edges are one small row per group, joined back."""
     edges = d.groupBy(*by).agg(F.expr(f"percentile({x}, array({', '.join(f'{k / n!r}D' for k in range(1, n))}))").alias("edges"))
@@ -161,7 +177,9 @@ def validity(d: DataFrame, factors: list[str], dims: list[str], r: str = "r_20")
     """Outcome of each factor's quintiles, over all and by each segment column, in one pass of grouping sets."""
     long = d.select(*dims, r, SYMBOL, DATE, F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("value")) for f in factors))).alias("x"))
     long = long.select(*dims, r, SYMBOL, DATE, "x.factor", "x.value").where(f"value IS NOT NULL AND {r} IS NOT NULL")
-    long = long.withColumn("q", rank_bins("value", ["factor"]))
+    long = ranked_in_ranges(long, "value", "place", by=("factor",), ties=(SYMBOL, DATE))
+    long = long.join(F.broadcast(long.groupBy("factor").agg(F.count(F.lit(1)).alias("m"))), "factor")  # one row per factor
+    long = long.withColumn("q", rank_share("place", "m"))
     sets = [["factor", "q"], *(["factor", "q", s] for s in dims)]
     return long.groupingSets([[F.col(c) for c in s] for s in sets], "factor", "q", *dims).agg(*outcome(r))
 

@@ -104,14 +104,14 @@ def pr03_buckets(spark, sf_dir):
 @query("q AS (SELECT quantile_cont(amount, 0.01) AS lo, quantile_cont(amount, 0.99) AS hi FROM bars) SELECT symbol, trade_date, {least(greatest(amount, lo), hi) AS amount} FROM bars, q")
 def pr05_winsorise(spark, sf_dir):
     b = t(spark, sf_dir, "bars")
-    edges = b.agg(F.expr("percentile(amount, 0.01D)").alias("lo"), F.expr("percentile(amount, 0.99D)").alias("hi"))
+    edges = P.percentiles(b, "amount", {"lo": 0.01, "hi": 0.99})
     return b.crossJoin(F.broadcast(edges)).select("symbol", "trade_date", F.least(F.greatest("amount", "lo"), F.col("hi")).alias("amount"))
 
 
 @query("q AS (SELECT quantile_cont(vol, 0.35) AS cut FROM bars) SELECT symbol, trade_date, {vol AS vol} FROM bars, q WHERE vol < cut")
 def pr08_quantile_filter(spark, sf_dir):
     b = t(spark, sf_dir, "bars")
-    return b.crossJoin(F.broadcast(b.agg(F.expr("percentile(vol, 0.35D)").alias("cut")))).where("vol < cut").select("symbol", "trade_date", "vol")
+    return b.crossJoin(F.broadcast(P.percentiles(b, "vol", {"cut": 0.35}))).where("vol < cut").select("symbol", "trade_date", "vol")
 
 
 @query(f"{FACTS}, seg AS (SELECT 'small' AS segment, * FROM facts WHERE cap = 0 UNION ALL SELECT 'cheap', * FROM facts WHERE pe > 0 AND pe < 30 UNION ALL SELECT 'surge', * FROM facts WHERE surge > 1.5 UNION ALL SELECT 'all', * FROM facts) SELECT segment, {STATS} FROM seg GROUP BY segment", "panel")
@@ -213,7 +213,9 @@ QUINT = "CASE WHEN x IS NOT NULL THEN CAST(greatest(1, ceil((row_number() OVER (
 
 @query(f"{FACTS}, one AS (SELECT symbol, trade_date, 'bias' AS f, bias AS x FROM facts) SELECT symbol, trade_date, {QUINT} AS q FROM one", "panel")
 def rk01_quintiles(spark, sf_dir):
-    return facts(spark, sf_dir).select("symbol", "trade_date", P.rank_bins("bias", []).alias("q"))
+    d = P.ranked_in_ranges(facts(spark, sf_dir).select("symbol", "trade_date", "bias"), "bias", "place", ties=("symbol", "trade_date"))
+    d = d.join(F.broadcast(d.agg(F.count("bias").alias("m"))))  # one row
+    return d.select("symbol", "trade_date", P.rank_share("place", "m").alias("q"))
 
 
 @query(f"{FACTS}, e AS (SELECT trade_date, {', '.join(f'quantile_cont(bias, {k / 5}) AS e{k}' for k in range(1, 5))} FROM facts GROUP BY trade_date) SELECT symbol, trade_date, {' + '.join(f'CAST(e{k} < bias AS INTEGER)' for k in range(1, 5))} + 1 AS bin FROM facts JOIN e USING (trade_date)", "panel")

@@ -19,7 +19,7 @@ _TAILS = " UNION ALL ".join(f"SELECT '{k}' AS part, k.* FROM k, q WHERE bias >=
 def ev13_top_tail(spark, sf_dir):
     """Outcome of the best 1, 5 and 10 % of all rows (ties at the threshold kept)."""
     d = facts(spark, sf_dir).where(GUARD)
-    edges = d.agg(*(F.expr(f"percentile(bias, {p}D)").alias(k) for k, p in TAILS))  # one row
+    edges = P.percentiles(d, "bias", dict(TAILS))
     masks = {k: F.col("bias") >= F.col(k) for k, _ in TAILS} | {"all": F.lit(True)}
     return P.segments(d.crossJoin(F.broadcast(edges)), masks).groupBy(F.col("segment").alias("part")).agg(*P.outcome())
 

@@ -23,39 +23,48 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("p_brand").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), *TIE, "l_quantity", "l_linestatus", F.round(100 + 2 * (F.log(F.col("l_extendedprice") / F.col("l_quantity")) - 7.6), 6).alias("px"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bar_cells() -> list:
     tie = F.struct(*TIE)
-    return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(
+    return [
         F.min_by("px", tie).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", tie).alias("close"),
         F.sum("l_quantity").cast("double").alias("vol"), F.round(F.sum("l_extendedprice"), 2).alias("amount"),
-    )
+    ]
 
 
-def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flow_cells() -> list:
     x, cells = F.col("l_extendedprice"), []
     for side, status in SIDES:
         for tier, lo, hi in TIERS:
             cells.append(F.round(F.sum(F.when((F.col("l_linestatus") == status) & (x >= lo) & (x < hi), x).otherwise(0.0)), 2).alias(f"{side}_{tier}_amount"))
-    return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(*cells)
+    return cells
 
 
-def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """industry, total_mv and pe of each bar."""
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(*_bar_cells())
+
+
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(*_flow_cells())
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with industry, total_mv and pe: one aggregate and one window, no second scan."""
     b = bars(spark, sf_dir)
     brands = read(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct().selectExpr("symbol", "row_number() OVER (ORDER BY symbol) - 1 AS r")
     factor = F.element_at(F.array(*map(F.lit, CAP_FACTORS)), (F.floor(F.col("r") / 5) % 5 + 1).cast("int"))
-    d = b.join(F.broadcast(brands), "symbol")
+    d = b.join(brands, "symbol")
     d = d.withColumn("mv", F.expr("sum(amount) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)") * factor / 1e4)
-    return d.select("symbol", "trade_date", F.concat(F.lit("I"), (F.col("r") % 5).cast("int").cast("string")).alias("industry"), F.col("mv").alias("total_mv"), (F.col("vol") % 140 - 20).alias("pe"))
+    return d.select(*b.columns, F.concat(F.lit("I"), (F.col("r") % 5).cast("int").cast("string")).alias("industry"), F.col("mv").alias("total_mv"), (F.col("vol") % 140 - 20).alias("pe"))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with attributes."""
-    return bars(spark, sf_dir).join(dims(spark, sf_dir), ["symbol", "trade_date"])
+def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """industry, total_mv and pe of each bar."""
+    return panel(spark, sf_dir).select("symbol", "trade_date", "industry", "total_mv", "pe")
 
 
 def panel_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).join(flow(spark, sf_dir), ["symbol", "trade_date"])
+    """Bars and flow cells of one aggregate."""
+    return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(*_bar_cells(), *_flow_cells())
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
