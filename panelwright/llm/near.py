@@ -10,28 +10,32 @@ similarity is `threshold` or more.
    16 at a time; a pair is dropped as soon as the posterior probability of reaching the threshold
    (uniform prior) is under `tolerance`. Pairs that last connect candidate groups; only
    spanning edges leave a task.
-3. Within each candidate group all pairs are decided on the exact shingle sets. Each text's
-   number of links and spanning edges leave the task, never all pairs.
+3. Within each candidate group the pairs that last the same comparison are decided on the exact
+   shingle sets; pairs that are dropped cost no more than their first values. Each text's number
+   of links and spanning edges leave the task, never all pairs.
 
 Buckets and groups of more than a tile are split: every pair of tiles is a task of its own, so
 none holds more than two tiles, and no pair is capped or skipped. Components of the links
 are the classes.
 
 Null texts are empty; equal texts, empty ones too, share a class. Rows with a null key stay, with
-null class and no links. Rows with equal keys and texts are copies of one document.
+null class and no links. Rows with equal keys and texts are copies of one document; texts
+are told apart by their 128-bit digest, so rows with equal keys and different texts are judged each by its
+own text. Keys may be of any type that has an order. Other columns are not returned.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import keep
 from .wordhash import A, WordHashes, grams, mixed
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
-HASHES, BANDS, STEP = 128, 32, 16
+HASHES, BANDS, STEP, FEW = 128, 32, 16, 32
 TILE, TILE_CHARS = 512, 4_000_000
 
 
@@ -87,6 +91,8 @@ def lasting(sig: np.ndarray, x: int, others: np.ndarray, least: dict[int, int])
     """Those of `others` whose pair with x is not dropped."""
     matches = np.zeros(len(others), np.int64)
     for n, enough in least.items():
+        if n > sig.shape[1]:
+            break
         matches += (sig[others, n - STEP : n] == sig[x, n - STEP : n]).sum(axis=1)
         others, matches = others[matches >= enough], matches[matches >= enough]
         if not len(others):
@@ -123,31 +129,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(key, class_id, n_links, n_copies) of every row.
+    """(key, class_id, n_links, n_copies, is_first, text_md5) of every row.
 
     class_id: the smallest key of the component; n_links: documents with a different text
-    that is linked; n_copies: other documents with the same text.
+    that is linked; n_copies: other documents with the same text; is_first: whether the row has the
+    text that stands for the class (the smallest key's; among several the one of least digest) and that key.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("same"))
+    kind = docs.schema["key"].dataType.simpleString()
     least = least_matches(threshold, tolerance)
     tenths = round(threshold * 10_000)
 
     def signed(batches):
-        import xxhash
-
         hashes, a = WordHashes(), multipliers()
         for b in batches:
-            raw = [(t or "").encode() for t in b.column("text").to_pylist()]
-            found = map(shingles, hashes.of(b.column("text")))
-            sig = [signature(x, a).tobytes() if len(x) else None for x in found]
-            same, chars = [xxhash.xxh3_128_digest(t) for t in raw], list(map(len, raw))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(chars, pa.int64())], ["key", "same", "sig", "chars"])
+            sig = [signature(x, a).tobytes() if len(x) else None for x in map(shingles, hashes.of(b.column("text")))]
+            chars = pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), pa.array(sig, pa.binary()), chars], ["key", "same", "sig", "chars"])
 
-    signatures = keep(docs.mapInArrow(signed, "key long, same binary, sig binary, chars long"), "near-signatures")
-    texts = keep(signatures.where("key IS NOT NULL").groupBy("same").agg(F.min("key").alias("text_id"), F.count_distinct("key").alias("n")), "near-texts")
-    one = texts.select(F.col("text_id").alias("key"), "n").join(signatures.where("sig IS NOT NULL").dropDuplicates(["key"]).drop("same"), "key")
+    signatures = keep(docs.mapInArrow(signed, f"key {kind}, same binary, sig binary, chars long"), "near-signatures")
+    texts = signatures.where("key IS NOT NULL").groupBy("same").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n"))
+    # Numbers of the written table's rows: unlike keys, one for each text.
+    texts = keep(texts.withColumn("id", F.monotonically_increasing_id()), "near-texts")
+    one = texts.select(F.col("id").alias("key"), F.col("first").alias("f"), F.col("same").alias("s")).join(signatures.where("sig IS NOT NULL"), (F.col("f") == signatures["key"]) & (F.col("s") == F.col("same"))).drop(signatures["key"])
+    one = keep(one.select("key", "sig", "chars").dropDuplicates(["key"]), "near-one")
 
     # Buckets with two members or more, each set of members once.
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 8 * i + 1, 8))
@@ -156,11 +161,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     many = keep(many.groupBy("n", "a", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("n").alias("members")), "near-buckets")
     rows = banded.join(many, "bucket").join(one.select("key", "sig"), "key")
 
+    def signed_rows(table):
+        return np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(table), -1)
+
     def connect(table):
-        keys = table.column("key").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(keys), HASHES)
-        order = np.argsort(keys, kind="stable")
-        keys, sig, sets = keys[order], sig[order], Sets(len(keys))
+        keys, sig, sets = table.column("key").to_numpy(), signed_rows(table), Sets(len(table))
         for x in range(len(keys) - 1):
             others = x + 1 + np.flatnonzero(sets.root[x + 1 :] != sets.root[x])
             if len(others):
@@ -171,42 +176,69 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     tiled = tile_pairs(rows, F.ceil(F.col("members") / TILE))
     edges = tiled.groupBy("bucket", "i", "j").applyInArrow(connect, "a long, b long")
     groups = keep(components(edges), "near-groups")
+    about = texts.select(F.col("id").alias("key"), "first", "same", "n")
     sizes = groups.join(one.select("key", "chars"), "key").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("chars").alias("all_chars"))
-    member = groups.join(keep(sizes, "near-sizes"), "root").join(one.select("key", "n"), "key")
-    full = member.join(docs, "key").dropDuplicates(["key"])
+    member = groups.join(keep(sizes, "near-sizes"), "root").join(about, "key").withColumnRenamed("same", "digest")
+    # The first values are enough to drop most pairs that the exact sets need not see.
+    member = member.join(one.select("key", F.substring("sig", 1, 2 * FEW).alias("sig")), "key")
+    full = member.join(docs.withColumnRenamed("key", "of"), (F.col("first") == F.col("of")) & (F.col("digest") == F.col("same"))).dropDuplicates(["key"])
 
     def verify(table):
+        table = table.sort_by("tile")
         keys, tile, weight = (table.column(c).to_numpy() for c in ("key", "tile", "n"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        hashes = WordHashes()
+        apart = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        sig, hashes = signed_rows(table), WordHashes()
         found = [shingles(h) for part in table.column("text").chunks for h in hashes.of(part)]
         ids = np.unique(np.concatenate(found), return_inverse=True)[1]
         size = np.asarray([len(x) for x in found])
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        starts = np.cumsum(size) - size
         links, sets, seen = np.zeros(len(keys), np.int64), Sets(len(keys)), np.zeros(ids.max() + 1, np.int64)
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        for x in range(len(keys)):
-            own = ids[starts[x] : starts[x] + size[x]]
+        # Two tiles: the rows of one with those of the other; one tile: each row with those after it.
+        second = int(np.searchsorted(tile, tile[-1])) if apart else len(keys)
+        for x in range(second):
+            others = lasting(sig, x, np.arange(second if apart else x + 1, len(keys)), least)
+            if not len(others):
+                continue
+            own, low = ids[starts[x] : starts[x] + size[x]], int(others[0])
             seen[own] = 1
-            shared = np.add.reduceat(seen[ids], starts)
+            if 3 * len(others) > len(keys) - low:
+                shared = np.add.reduceat(seen[ids[starts[low] :]], starts[low:] - starts[low])[others - low]
+            else:
+                shared = np.asarray([seen[ids[starts[o] : starts[o] + size[o]]].sum() for o in others.tolist()])
             seen[own] = 0
-            linked = shared * 10_000 >= tenths * (size + size[x] - shared)
-            linked[x] = False
-            if i != j:
-                linked &= tile != tile[x]
-            at = np.flatnonzero(linked)
-            links[x] = weight[at].sum()
+            at = others[shared * 10_000 >= tenths * (size[others] + size[x] - shared)]
+            links[x] += weight[at].sum()
+            links[at] += weight[x]
             if len(at):
-                sets.join(rank[x], rank[at])
-        return pa.table({"key": pa.array(keys), "links": pa.array(links), "root": pa.array(keys[order][sets.root[rank]])})
+                sets.join(x, at)
+        return pa.table({"key": pa.array(keys), "links": pa.array(links), "root": pa.array(keys[sets.root])})
 
     tiles = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("all_chars") / TILE_CHARS))
-    verified = keep(tile_pairs(full.select("key", "n", "text", "root", "members", "all_chars"), tiles).groupBy("root", "i", "j").applyInArrow(verify, "key long, links long, root long"), "near-verified")
-    classes = components(verified.select(F.col("root").alias("a"), F.col("key").alias("b")))
-    links = keep(verified.groupBy("key").agg(F.sum("links").alias("links")).join(classes, "key", "left"), "near-links")
-    by_text = keep(texts.join(links, texts.text_id == links.key, "left").select("same", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")), "near-classes")
-    out = signatures.select("key", "same").join(by_text, "same", "left")
+    tiled = tile_pairs(full.select("key", "n", "sig", "text", "root", "members", "all_chars"), tiles).drop("members", "all_chars")
+    verified = keep(tiled.groupBy("root", "i", "j").applyInArrow(verify, "key long, links long, root long"), "near-verified")
+    classes = keep(components(verified.select(F.col("root").alias("a"), F.col("key").alias("b"))), "near-roots")
+    links = verified.groupBy("key").agg(F.sum("links").alias("links"))
+    named = about.select("key", "first", "same", "n").join(links, "key", "left").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = keep(named, "near-named")
+    heads = named.groupBy("root").agg(F.min(F.struct("first", "same")).alias("head"))
+    by_text = named.join(heads, "root").select("same", F.col("head.first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"), (F.col("head.same") == F.col("same")).alias("stands"))
+    out = signatures.select("key", "same").join(keep(by_text, "near-classes"), "same", "left")
     has = F.col("key").isNotNull()
-    return out.select(F.col("key").alias(key), F.when(has, F.col("class_id")).alias("class_id"), F.when(has, F.col("n_links")).otherwise(0).alias("n_links"), F.when(has, F.col("n_copies")).otherwise(0).alias("n_copies"))
+    return out.select(
+        F.col("key").alias(key), F.when(has, F.col("class_id")).alias("class_id"), F.when(has, F.col("n_links")).otherwise(0).alias("n_links"),
+        F.when(has, F.col("n_copies")).otherwise(0).alias("n_copies"), F.coalesce(has & F.col("stands") & (F.col("key") == F.col("class_id")), F.lit(False)).alias("is_first"),
+        F.lower(F.hex("same")).alias("text_md5"),
+    )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each class of near duplicates the row whose text and key stand for it (see `near_duplicates`); rows without a key stay.
+
+    Where that row is repeated, the one with the least other columns stays. Columns stay as they are.
+    """
+    first = near_duplicates(docs, key, text).where("is_first").select(F.col(key).alias("__key"), "text_md5").distinct()
+    marked = docs.withColumn("__md5", F.md5(F.coalesce(text, F.lit(""))))
+    kept = marked.join(first, (F.col(key) == F.col("__key")) & (F.col("__md5") == F.col("text_md5")), "left_semi")
+    order = Window.partitionBy(key, "__md5").orderBy(*(F.col(c).cast("string").asc_nulls_first() for c in docs.columns if c not in (key, text)), F.lit(0))
+    kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return kept.select(*docs.columns).union(docs.where(F.col(key).isNull()))
