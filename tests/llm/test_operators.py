@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from panelwright.llm import bpe, fingerprints, mixing, near, pages, pii, quality, rules, substrings, toxicity
 from panelwright.llm import queries as Q
+from panelwright.llm.common import next_row
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,10 +75,10 @@ def test_bpe_equals_library(spark, docs):
     tok = Tokenizer.from_file(bpe.default_path())
     odd = ["", None, " ", "  ", "a  b", "a   b", " a", "a  ", "\n \n x", "foo\n \nbar", "x<|endoftext|> y  <|endoftext|>", "it's we'll I'M 12 34  é́ 日本語　 x", "a\x1cb \x1f c", "tab\t tab \tx\r\n  y", "😀 😀😀  👍🏽", "\x85 \x85a", "x" * 5000, "same", "same"]
     texts = odd + [t for _, t in docs[:120]]
-    got = {x.doc_id: x for x in bpe.decode(bpe.encode(frame(spark, texts), decoded="text2")).collect()}
+    got = {x.doc_id: x for x in bpe.decode(bpe.encode(frame(spark, texts))).collect()}
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids
-        assert list(got[i].ids) == ids and got[i].decoded == got[i].text2 == tok.decode(ids, skip_special_tokens=False)
+        assert list(got[i].ids) == ids and got[i].decoded == tok.decode(ids, skip_special_tokens=False)
     assert bpe.encode(frame(spark, ["a"]).where("false")).count() == 0
 
 
@@ -88,8 +90,23 @@ def test_classifiers_on_held_out_rows(spark):
     known = {r.doc_id: r for r in labels.collect()}
     got = [r for r in quality.digest(quality.scored(docs, labels)).collect() if r.held_out and r.doc_id in known]
     assert sum(r.predicted == known[r.doc_id].quality for r in got) >= 0.93 * len(got) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_rules_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.where("doc_id % 3 = 0").collect()}
+    learned = rules.train(docs, labels.where("doc_id % 3 > 0"))
+    got = [r for r in rules.digest(rules.measured(docs), learned).where("doc_id % 3 = 0 AND NOT base_failed").collect() if r.doc_id in known]
+    bad, good = ([r.kept for r in got if known[r.doc_id] == q] for q in (0, 1))
+    assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.toxic for r in labels.collect()}
     got = [r for r in toxicity.digest(toxicity.scored(docs, labels)).collect() if r.held_out and r.doc_id in known]
-    assert sum(r.predicted and not known[r.doc_id].toxic for r in got) <= 3
+    found = sum(r.predicted and known[r.doc_id] for r in got)
+    assert found >= 0.9 * sum(known[r.doc_id] for r in got) and found >= 0.95 * sum(r.predicted for r in got)
 
 
 def test_classifiers_without_labels_or_texts(spark):
@@ -161,7 +178,36 @@ def test_rules_learn_a_threshold(spark):
 # Fingerprints
 
 
-def test_fingerprints(spark, docs):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def anchors_of(text):
+    """(hash, place) of runs of five words whose least word hash is at an edge."""
+    h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORD.findall(text)]
+    out = []
+    for i in range(len(h) - 4):
+        run, seed = h[i : i + 5], 42
+        if min(run) in (run[0], run[4]):
+            for x in run:
+                seed = xxhash.xxh64((x & 2**64 - 1).to_bytes(8, "little"), seed=seed).intdigest()
+            out.append((seed >> 32, i))
+    return out or [(xxhash.xxh64(text.encode(), seed=42).intdigest() >> 32, 0)]
+
+
+def positional(a, b):
+    places = [{}, {}]
+    for found, of in ((a, places[0]), (b, places[1])):
+        for h, i in found:
+            of.setdefault(h, []).append(i)
+    n = near = 0
+    for h in places[0].keys() & places[1].keys():
+        k = min(len(p[h]) for p in places)
+        n, near = n + k, near + k * (1 - abs(places[0][h][0] / (a[-1][1] + 1) - places[1][h][0] / (b[-1][1] + 1)))
+    return near / (len(a) + len(b) - n)
+
+
+def test_fingerprints_equal_brute_force(spark, docs):
     d = frame(spark, [t for _, t in docs])
     got = {r.doc_id: r for r in fingerprints.digest(d).collect()}
     n, texts = len(docs), [t for _, t in docs]
@@ -169,6 +215,9 @@ def test_fingerprints(spark, docs):
         k, nxt = len(texts[i]) // 3, texts[i - 1] if i else texts[n - 1]
         e = texts[i][: len(texts[i]) - k] + nxt[:k]
         assert got[i].n_chars == len(texts[i]) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        own, changed, after = map(anchors_of, (texts[i], e, nxt))
+        assert got[i].fingerprint == ",".join(f"{h:08x}:{p}" for h, p in own) and got[i].edited_fingerprint == ",".join(f"{h:08x}:{p}" for h, p in changed)
+        assert got[i].near_edited == pytest.approx(positional(own, changed)) and got[i].near_next == pytest.approx(positional(own, after))
     by = {}
     for i in range(n):
         by.setdefault(texts[i], set()).add(got[i].fingerprint)
@@ -177,6 +226,32 @@ def test_fingerprints(spark, docs):
     assert one.near_edited == one.near_next == 1.0 and fingerprints.digest(d.where("false")).count() == 0
 
 
+def test_fingerprints_see_passages_changes_and_moves(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b, passage = words(8000), words(8000), words(50)
+    a[3000:3050] = b[5000:5050] = passage
+    changed = a[:4000] + words(12) + a[4012:]
+    rows = [(a, b), (a, changed), (a, a[4000:] + a[:4000]), (a, a + a[:2000]), (a, a)]
+    d = spark.createDataFrame([(i, " ".join(x), " ".join(y)) for i, (x, y) in enumerate(rows)], "k long, x string, y string")
+    d = fingerprints.fingerprint(fingerprints.fingerprint(d, "x", "p"), "y", "q")
+    passage, edit, swapped, repeated, same = (x.s for x in d.select("k", fingerprints.likeness(F.col("p"), F.col("q")).alias("s")).orderBy("k").collect())
+    assert 0 < passage < 0.01 and 0.99 < edit < 1 and 0.4 < swapped < 0.6 and 0.6 < repeated < 0.95 and same == 1
+
+
+def test_next_row_with_ties_nulls_and_ranges(spark):
+    r = random.Random(7)
+    rows = [(r.choice([None, r.randrange(50), r.randrange(10**6)]), f"t{i}", i) for i in range(3000)] + [(5, "same", 1), (5, "same", 1)]
+    d = spark.createDataFrame(rows, "k long, text string, other long")
+    got = [sorted(map(str, next_row(d, "k", ["text"], per_range=n).collect())) for n in (10, 100_000)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    chain = next_row(d.where("k > 1000").dropDuplicates(["k"]), "k", ["text", "k"], per_range=10).collect()
+    order = sorted((x.k for x in chain), reverse=True)
+    assert {x.k: x.next_k for x in chain} == dict(zip(order, order[1:] + order[:1]))
+
+
 # Mixing
 
 
@@ -207,7 +282,21 @@ def test_mix_targets_and_sizes(spark):
         x = got[i]
         assert x.size == size[i] and x.source_size == total[s] and x.target == pytest.approx(want[s]) and 0 <= x.taken <= 3 * x.size
         taken[s] += x.taken
-    assert all(abs(taken[s] - want[s]) <= max(60, 0.01 * want[s]) for s in order)
+    assert all(abs(taken[s] - want[s]) <= max(30, 0.002 * want[s]) for s in order)
+    import math
+
+    solved = {x.source: x for x in mixing.fitted(d).collect()}
+    for src in order:  # the dual's optimum by bisection
+        of = [size[i] for i, _, x in rows if x == src and size[i]]
+        mean = total[src] / sum(x == src for _, _, x in rows)
+        rate = lambda lam, z: min(3.0, math.exp(min(40, lam * z / mean)))
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(z * rate(mid, z) for z in of) < want[src] else (lo, mid)
+        if want[src] < 3 * total[src]:
+            assert solved[src].lam == pytest.approx(lo, abs=1e-6)
+            assert all(got[i].rate == pytest.approx(rate(lo, size[i]), rel=1e-5) for i, _, x in rows if x == src and size[i])
     again = {x.doc_id: x.taken for x in mixing.mix(d.repartition(7)).collect()}
     assert again == {i: x.taken for i, x in got.items()}
     assert mixing.mix(d.where("false")).count() == 0
@@ -253,6 +342,16 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert near.near_duplicates(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_keys(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", long), ("a", "quite another text"), ("a", long + " end"), ("a", long + " end"), (None, long), ("c", "quite another text"), ("d", None), ("e", "")]
+    d = spark.createDataFrame([(k, t, n, 0) for n, (k, t) in enumerate(rows)], "doc_id string, text string, key int, root int")
+    got = sorted((str(x.doc_id), str(x.class_id), x.n_links, x.n_copies, x.is_first) for x in near.near_duplicates(d).collect())
+    assert got == sorted([("b", "a", 1, 0, False), ("a", "a", 1, 0, True), ("a", "a", 1, 0, True), ("a", "a", 0, 1, True), ("c", "a", 0, 1, False), ("None", "None", 0, 0, False), ("d", "d", 0, 1, True), ("e", "d", 0, 1, False)])
+    kept = sorted((str(x.doc_id), x.text, x.key) for x in near.one_of_each(d).collect())
+    assert kept == [("None", long, 4), ("a", "quite another text", 1), ("a", long + " end", 2), ("d", None, 6)]
+
+
 def test_least_matches_bound():
     least = near.least_matches()
     assert list(least) == list(range(16, 129, 16)) and all(least[n] < 0.8 * n for n in least)
@@ -283,7 +382,10 @@ def test_substrings_equal_brute_force(spark, docs):
             seen.add(g)
         x = got[i]
         assert (x.n_words, x.n_removed, x.kept) == (len(ws), sum(gone), b" ".join(w for w, d in zip(ws, gone) if not d).decode()), i
-        assert sum(gone) == len({p for f in x.factors for p in range(f.start, f.start + f.n_words)})
+        assert sum(gone) == sum(f.n_words for f in x.factors) and all(a.start + a.n_words <= b.start for a, b in zip(x.factors, x.factors[1:]))
+        for f in x.factors:  # the reference is earlier and says the same
+            of = (texts[f.of] or "").encode().split()
+            assert of[f.at : f.at + f.n_words] == ws[f.start : f.start + f.n_words] and (f.of, f.at) < (i, f.start)
     rows = spark.createDataFrame([(1, passage), (1, passage), (None, passage)], "doc_id long, text string")
     assert [x.n_removed for x in substrings.dedup(rows).collect()] == [0, 0, 0]
 
@@ -357,7 +459,11 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.3} and kept.columns == docs.columns
     one = C.drop_near_duplicates(spark, docs, SF)
     classes = {r.doc_id: r.class_id for r in near.near_duplicates(docs).collect()}
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(classes.values()))
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(classes.values())) and one.columns == docs.columns
+    odd = spark.createDataFrame([(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "other words", None, None, 11), (None, None, None, None, None)], docs.schema)
+    assert C.drop_near_duplicates(spark, odd, SF).count() == 3
+    for _, stage in C.STAGES:
+        assert stage(spark, odd, SF).count() >= 1 and stage(spark, odd.where("false"), SF).count() == 0
     masked = {r.doc_id: r for r in C.mask_personal_data(spark, docs, SF).collect()}
     assert all(r.n_chars == len(r.text) and not base_spans(r.text) for r in masked.values())
     mixed = Counter(r.doc_id for r in C.mix_sources(spark, docs, SF).collect())
