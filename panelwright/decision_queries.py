@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from .operators import channel
 from .operators import panels as P
 from .operators.features import FEATURES
 from .panel_queries import FACTS, W_, facts, query, t
@@ -110,3 +111,18 @@ def d07_trend_lines(spark, sf_dir):
     end = n.groupBy("symbol").agg(F.max_by("close", "i").alias("close"), F.max("i").alias("last"))
     level = F.col("a") + F.col("slope") * (F.col("last") - F.col("i"))
     return best.join(end, "symbol").select("symbol", "i", "j", "touches", "slope", level.alias("level"), (F.round(F.col("close") - level, 9) < 0).alias("broken"))
+
+
+@query("")
+def d10_eight_phases(spark, sf_dir):
+    """Phase, rows in it and score of every bar against its channel."""
+    return channel.phases(channel.inputs().apply(t(spark, sf_dir, "bars"))).select("symbol", "trade_date", "phase", "days", "score")
+
+
+@query("")
+def d11_phase_profile(spark, sf_dir):
+    """Count, mean, median and win rate by phase over 5, 10 and 20 rows."""
+    labels = P.forward(t(spark, sf_dir, "bars"), (5, 10, 20), entry="close").select("symbol", "trade_date", "r_5", "r_10", "r_20")
+    d = channel.phases(channel.inputs().apply(t(spark, sf_dir, "bars"))).where("phase IS NOT NULL").join(labels, ["symbol", "trade_date"])
+    rows = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"r_{h}").alias("r")) for h in (5, 10, 20)))
+    return d.select("phase", F.explode(rows).alias("x")).select("phase", "x.*").groupBy("phase", "horizon").agg(*P.outcome("r"))

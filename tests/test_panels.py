@@ -157,3 +157,25 @@ def test_window_families_equal_loops(spark):
         moves = [(h[k] - h[k - 1], l[k - 1] - l[k]) for k in range(i - 13, i + 1)]
         up, total = sum(u for u, v in moves if u > v and u > 0), sum(tr[i - 13 : i + 1])
         assert adx[i].pdi == near(100 * up / total)
+
+
+def test_channel_walk_visits_all_phases():
+    from panelwright.operators.channel import next_phase
+
+    def walk(rows):
+        phase, days, was, out = None, 0, None, []
+        for r in rows:
+            f = {k: k in r for k in ("inside", "over", "under", "above", "topped", "weak")}
+            phase, days = next_phase(phase, days, was, "below" in r, f)
+            was = f["over"]
+            out.append((phase, days))
+        return out
+
+    low, under, over, top = {"below", "under"}, {"inside", "under"}, {"inside", "over"}, {"inside", "over", "above", "topped"}
+    got = walk([under, over, over, low, low, under, over, *[over] * 15, over, top, under, over])
+    assert [p for p, _ in got] == ["0D", "0U", "0U", "1", "1", "2", "3B", *["3B"] * 14, "4B", "4B", "4A", "0D", "0U"]
+    assert got[2] == ("0U", 2) and got[4] == ("1", 2) and got[-3] == ("4A", 1)
+    assert [p for p, _ in walk([low] * 11 + [low])][-2:] == ["0D", "1"]  # ten rows under the channel, then given up
+    assert [p for p, _ in walk([low, under, *[under] * 20])][-1] == "3A" and walk([low, under, *[under | {"weak"}] * 5])[-1] == ("3A", 1)
+    assert [p for p, _ in walk([low, under, over, top, top, under])] == ["1", "2", "3B", "4A", "4A", "0D"]
+    assert [p for p, _ in walk([low, under, over, *[over] * 15, *[over] * 21])][-1] == "0U"
