@@ -49,6 +49,11 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(found: str) -> int:
+    """Where the longest part of a proposed IBAN that ends at a space or at its end and passes mod-97 ends; 0 if none does."""
+    return next((n for n in range(len(found), 14, -1) if (n == len(found) or found[n] == " ") and found[n - 1] != " " and mod97(found[:n])), 0)
+
+
 def _emails(text: str):
     """Leftmost non-overlapping matches found from each @ outwards: linear in the text."""
     done, at = 0, text.find("@")
@@ -82,7 +87,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 out.append((m.start(), 3, m.end()))
-    out += [(m.start(), 4, m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
+    out += [(m.start(), 4, m.start() + n) for m in IBAN.finditer(text) if (n := iban_end(m[0]))]
     out += [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
     return sorted(out)
 

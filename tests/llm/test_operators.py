@@ -59,6 +59,11 @@ def test_pii_equals_patterns(spark):
     assert "iban:0:27" in got[15].spans
 
 
+def test_iban_before_capital_words():
+    assert [s["end"] for s in pii.scored_spans("BE68 5390 0754 7034 CASH") if s["kind"] == "iban"] == [19]
+    assert pii.iban_end("BE68 5390 0754 7035 CASH") == 0
+
+
 def test_pii_masks_and_keeps_columns(spark):
     d = spark.createDataFrame([(1, "mail a@b.co now", "x"), (1, "mail a@b.co now", "x"), (None, None, None)], "doc_id long, text string, spans string")
     got = sorted((str(x.text), str(x.spans)) for x in pii.mask_pii(d).collect())
