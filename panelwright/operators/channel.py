@@ -49,26 +49,36 @@ def next_phase(phase: str | None, days: int, was_over: bool | None, below: bool,
     return phase, days
 
 
+FLAGS = ("below", "inside", "over", "under", "above", "topped", "weak")
+
+
+def flagged(features: DataFrame) -> DataFrame:
+    """(symbol, trade_date, flags) of the rows of `inputs` that have a channel."""
+    c = F.col
+    weak = F.coalesce((c("vol_ratio") < 0.8) & (c("rsi").isNull() | (c("rsi") < 35)), F.lit(False))
+    made = (c("close") < c("lower"), c("close") >= c("lower"), c("close") > c("middle"), c("close") < c("middle"), c("close") > c("upper"), c("topped") == 1, weak)
+    return features.where("middle IS NOT NULL").select("symbol", "trade_date", *(x.alias(n) for n, x in zip(FLAGS, made)))
+
+
+def walked_frame(pdf, phase: str | None, days: int, was: bool | None):
+    """The phases of one symbol's rows in order of date, after what came before; and where that leaves it."""
+    pdf, out = pdf.sort_values("trade_date"), []
+    for row in pdf[list(FLAGS)].itertuples(index=False):
+        now = dict(zip(FLAGS, row))
+        phase, days = next_phase(phase, days, was, now["below"], now)
+        was = bool(now["over"])
+        out.append((phase, days))
+    return pdf.assign(phase=[p for p, _ in out], days=[d for _, d in out])[["symbol", "trade_date", "phase", "days"]], (phase, days, was)
+
+
 def phases(features: DataFrame) -> DataFrame:
     """The rows of `inputs` with phase (null without a channel), days in it, place (-1 to 1) and score."""
     c = F.col
-    weak = (c("vol_ratio") < 0.8) & (c("rsi").isNull() | (c("rsi") < 35))
-    flags = {"below": c("close") < c("lower"), "inside": c("close") >= c("lower"), "over": c("close") > c("middle"), "under": c("close") < c("middle"), "above": c("close") > c("upper"), "topped": c("topped") == 1, "weak": F.coalesce(weak, F.lit(False))}
-    walk = features.where("middle IS NOT NULL").select("symbol", "trade_date", *(x.alias(n) for n, x in flags.items()))
-
-    names = list(flags)
 
     def fold(pdf):
-        pdf = pdf.sort_values("trade_date")
-        phase, days, was, out = None, 0, None, []
-        for row in pdf[names].itertuples(index=False):
-            now = dict(zip(names, row))
-            phase, days = next_phase(phase, days, was, now["below"], now)
-            was = now["over"]
-            out.append((phase, days))
-        return pdf.assign(phase=[p for p, _ in out], days=[d for _, d in out])[["symbol", "trade_date", "phase", "days"]]
-
-    walked = walk.groupBy("symbol").applyInPandas(fold, "symbol string, trade_date date, phase string, days int")
+        return walked_frame(pdf, None, 0, None)[0]
+
+    walked = flagged(features).groupBy("symbol").applyInPandas(fold, "symbol string, trade_date date, phase string, days int")
     d = features.join(walked, ["symbol", "trade_date"], "left")
     up, down = F.nullif(c("upper") - c("middle"), F.lit(0.0)), F.nullif(c("middle") - c("lower"), F.lit(0.0))
     place = F.when(c("close") >= c("middle"), F.least(F.lit(1.0), (c("close") - c("middle")) / up)).otherwise(F.greatest(F.lit(-1.0), (c("close") - c("middle")) / down))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .operators import channel
 from .operators import panels as P
 from .panel_queries import FACTS, W_, facts, query, t
 from .sources import files
@@ -191,6 +192,17 @@ def sm04_stream_against_levels(spark, sf_dir):
     return spark.read.parquet(out).groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("")
+def sm05_channel_walk(spark, sf_dir):
+    """The channel walk on a stream that comes in two runs, the second one from the state of the first."""
+    flags = channel.flagged(channel.inputs().apply(t(spark, sf_dir, "bars")))
+    source, out, state = folder(spark, "flags"), folder(spark, "walk"), folder(spark, "state")
+    for early in (True, False):
+        flags.where((F.col("trade_date") <= F.lit("1998-06-30").cast("date")) == early).write.mode("append").parquet(source)
+        S.drain(S.channel_walk(spark.readStream.schema(flags.schema).parquet(source)), out, state)
+    return spark.read.parquet(out)
+
+
 @query(f"{BRANDS}signals AS {_SIGNALS}, b AS (SELECT symbol, trade_date, close, row_number() OVER ({W_}) AS i FROM bars WHERE trade_date <= DATE '1997-12-31'), m AS (SELECT symbol, max(i) AS last FROM b GROUP BY symbol), s AS (SELECT o_orderkey, symbol, i, close FROM signals JOIN b USING (symbol, trade_date)), e AS (SELECT s.*, least(20, last - s.i) AS filled FROM s JOIN m USING (symbol)) SELECT o_orderkey, e.symbol, CAST(filled AS BIGINT) AS filled, CASE WHEN filled = 20 THEN 'closed' ELSE 'open' END AS status, {{100 * (b.close / e.close - 1) AS ret}} FROM e JOIN b ON b.symbol = e.symbol AND b.i = e.i + filled", "bars")
 def sm06_arriving_outcomes(spark, sf_dir):
     """Signals and the bars that have come by a date: a signal is open until 20 bars came after its own."""

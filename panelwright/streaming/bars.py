@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.channel import walked_frame
 from ..operators.folds import next_phase
 
 
@@ -38,6 +39,19 @@ def phases(features: DataFrame) -> DataFrame:
     return features.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, phase int, days int", "phase int, days int", "append", "NoTimeout")
 
 
+def channel_walk(flags: DataFrame) -> DataFrame:
+    """(symbol, trade_date, phase, days) of a stream of `channel.flagged` rows: the eight-phase walk, its state kept by symbol; rows of a symbol have to come in order of date from batch to batch."""
+    def step(key, frames, state):
+        import pandas as pd
+
+        phase, days, was = state.get if state.exists else (None, 0, None)
+        frame, (phase, days, was) = walked_frame(pd.concat(list(frames)), phase, days, was)
+        state.update((phase, days, was))
+        yield frame
+
+    return flags.groupBy("symbol").applyInPandasWithState(step, "symbol string, trade_date date, phase string, days int", "phase string, days int, was boolean", "append", "NoTimeout")
+
+
 def drain(df: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a stream over what is there into Parquet files, then stops."""
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -179,3 +179,9 @@ def test_channel_walk_visits_all_phases():
     assert [p for p, _ in walk([low, under, *[under] * 20])][-1] == "3A" and walk([low, under, *[under | {"weak"}] * 5])[-1] == ("3A", 1)
     assert [p for p, _ in walk([low, under, over, top, top, under])] == ["1", "2", "3B", "4A", "4A", "0D"]
     assert [p for p, _ in walk([low, under, over, *[over] * 15, *[over] * 21])][-1] == "0U"
+
+
+def test_channel_walk_is_the_same_on_a_stream(spark):
+    rows = lambda name: sorted((r.symbol, str(r.trade_date), r.phase, r.days) for r in panel.QUERIES[name](spark, SF).where("phase IS NOT NULL").collect())
+    got = rows("sm05_channel_walk")
+    assert got and got == rows("d10_eight_phases")
