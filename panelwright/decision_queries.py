@@ -1,7 +1,7 @@
 """Registered queries of decisions: quadrants, combinations of flow events, exits, anomalies against signals, capped selection, trend lines."""
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import channel
@@ -126,3 +126,56 @@ def d11_phase_profile(spark, sf_dir):
     d = channel.phases(channel.inputs().apply(t(spark, sf_dir, "bars"))).where("phase IS NOT NULL").join(labels, ["symbol", "trade_date"])
     rows = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"r_{h}").alias("r")) for h in (5, 10, 20)))
     return d.select("phase", F.explode(rows).alias("x")).select("phase", "x.*").groupBy("phase", "horizon").agg(*P.outcome("r"))
+
+
+# Layered scores ------------------------------------------------------------------------------------------------
+
+_LONG = "SELECT symbol, trade_date, cap, industry, value, trend, r_20, f.factor, CAST(floor(f.x * 5) AS INTEGER) AS q FROM (SELECT *, unnest([{'factor': 'bias', 'x': least(0.999, greatest(0.0, (bias + 0.03) / 0.06))}, {'factor': 'place', 'x': least(0.999, coalesce(place, 0.5))}, {'factor': 'surge', 'x': least(surge / 3, 0.999)}]) AS f FROM scored)"
+_CELL = " UNION ALL ".join(f"SELECT '{d}' AS dim, CAST({d} AS VARCHAR) AS seg, factor, q, avg(r_20) AS m, count(r_20) AS n FROM long GROUP BY ALL" for d in ("cap", "industry", "value"))
+_LAYERS = f"{SCORED}, long AS ({_LONG}), cells AS ({_CELL}), ex AS (SELECT c.dim, c.seg, c.factor, c.q, c.m - b.m AS ex FROM cells c JOIN cells b ON b.dim = c.dim AND b.seg = c.seg AND b.factor = c.factor AND b.q = 2 WHERE c.n >= 20 AND b.n >= 20), lk AS (SELECT symbol, trade_date, trend, factor, q, d.dim, d.seg FROM (SELECT *, unnest([{{'dim': 'cap', 'seg': CAST(cap AS VARCHAR)}}, {{'dim': 'industry', 'seg': industry}}, {{'dim': 'value', 'seg': CAST(value AS VARCHAR)}}]) AS d FROM long)), a AS (SELECT symbol, trade_date, any_value(trend) AS trend, factor, avg(ex) AS ex, count(*) AS dims, min(round(ex, 9)) * max(round(ex, 9)) >= 0 AS agree FROM lk JOIN ex USING (dim, seg, factor, q) GROUP BY symbol, trade_date, factor), pt AS (SELECT symbol, trade_date, factor, dims, CASE WHEN abs(round(ex, 9)) < 0.05 THEN 0.0 ELSE greatest(-20.0, least(20.0, 10 * ex)) * (CASE WHEN agree THEN 1.0 ELSE 0.5 END) * (CASE WHEN trend > 55 AND ex > 0 OR trend < 45 AND ex < 0 THEN 1.1 ELSE 0.9 END) END AS p FROM a)"
+
+
+def layered(spark, sf_dir) -> DataFrame:
+    """(symbol, trade_date, factor, dims, p): a factor's points from its bin's excess over the middle bin in three kinds of segment; halved if they disagree, moved by the market's side, none if small."""
+    c = F.col
+    d = scored(spark, sf_dir)
+    x = {"bias": F.least(F.lit(0.999), F.greatest(F.lit(0.0), (c("bias") + 0.03) / 0.06)), "place": F.least(F.lit(0.999), F.coalesce("place", F.lit(0.5))), "surge": F.least(c("surge") / 3, F.lit(0.999))}
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("factor"), F.floor(v * 5).cast("int").alias("q")) for k, v in x.items())))
+    segments = F.explode(F.array(*(F.struct(F.lit(s).alias("dim"), c(s).cast("string").alias("seg")) for s in ("cap", "industry", "value"))))
+    long = d.select("symbol", "trade_date", "trend", "r_20", "cap", "industry", "value", values.alias("f")).select("*", "f.*", segments.alias("d")).select("symbol", "trade_date", "trend", "r_20", "factor", "q", "d.*")
+    keys = ["dim", "seg", "factor"]
+    cells = long.groupBy(*keys, "q").agg(F.avg("r_20").alias("m"), F.count("r_20").alias("n")).where("n >= 20")
+    middle = F.max(F.when(c("q") == 2, c("m"))).over(Window.partitionBy(*keys))
+    cells = cells.withColumn("ex", c("m") - middle).where("ex IS NOT NULL").select(*keys, "q", "ex")
+    a = long.join(cells, [*keys, "q"]).groupBy("symbol", "trade_date", "factor").agg(F.max("trend").alias("trend"), F.avg("ex").alias("ex"), F.count(F.lit(1)).alias("dims"), (F.min(F.round("ex", 9)) * F.max(F.round("ex", 9)) >= 0).alias("agree"))
+    ex = c("ex")
+    moved = F.when(((c("trend") > 55) & (ex > 0)) | ((c("trend") < 45) & (ex < 0)), 1.1).otherwise(0.9)
+    p = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), 10 * ex)) * F.when(c("agree"), 1.0).otherwise(0.5) * moved
+    return a.select("symbol", "trade_date", "factor", "dims", F.when(F.abs(F.round(ex, 9)) < 0.05, 0.0).otherwise(p).alias("p"))
+
+
+@query(f"{_LAYERS} SELECT symbol, trade_date, {{greatest(0.0, least(100.0, 50 + sum(p))) AS score}}, {{sum(greatest(p, 0.0)) * sum(greatest(-p, 0.0)) - sum(greatest(p, 0.0) * greatest(-p, 0.0)) AS conflict}}, {{abs(sum(p)) / (sum(abs(p)) + 1e-6) AS confidence}}, count(CASE WHEN abs(p) > 0 THEN 1 END) AS active FROM pt GROUP BY symbol, trade_date", "panel")
+def sr10_three_layers(spark, sf_dir):
+    """Score, conflict, confidence and active factors of every bar over three kinds of segment."""
+    p, zero = F.col("p"), F.lit(0.0)
+    up, down = F.greatest(p, zero), F.greatest(-p, zero)
+    g = layered(spark, sf_dir).groupBy("symbol", "trade_date")
+    return g.agg(F.greatest(zero, F.least(F.lit(100.0), 50 + F.sum(p))).alias("score"), (F.sum(up) * F.sum(down) - F.sum(up * down)).alias("conflict"), (F.abs(F.sum(p)) / (F.sum(F.abs(p)) + 1e-6)).alias("confidence"), F.count_if(F.abs(p) > 0).alias("active"))
+
+
+@query(f"{_LAYERS}, d AS (SELECT *, round(p, 2) AS r FROM pt WHERE trade_date = DATE '1997-03-03' AND abs(p) > 0) SELECT symbol, string_agg(factor || (CASE WHEN r > 0 THEN '+' ELSE '-' END), ',' ORDER BY abs(r) DESC, factor) AS evidence, {{sum(p) AS points}} FROM d GROUP BY symbol", "panel")
+def sr11_evidence(spark, sf_dir):
+    """The active factors of a date's symbols, the weightiest first, with their side."""
+    d = layered(spark, sf_dir).where("trade_date = DATE '1997-03-03' AND abs(p) > 0").withColumn("r", F.round("p", 2))
+    rows = F.array_sort(F.collect_list(F.struct((-F.abs("r")).alias("o"), "factor", "r")))
+    shown = F.transform(rows, lambda x: F.concat(x["factor"], F.when(x["r"] > 0, "+").otherwise("-")))
+    return d.groupBy("symbol").agg(F.array_join(shown, ",").alias("evidence"), F.sum("p").alias("points"))
+
+
+@query(f"{_LAYERS}, s1 AS (SELECT factor, p FROM pt WHERE trade_date = DATE '1997-03-03' AND symbol = 'Brand#1'), s2 AS (SELECT factor, p FROM pt WHERE trade_date = DATE '1997-03-03' AND symbol = 'Brand#2') SELECT coalesce(s1.factor, s2.factor) AS factor, {{s1.p AS first}}, {{s2.p AS second}}, {{coalesce(s1.p, 0) - coalesce(s2.p, 0) AS difference}} FROM s1 FULL JOIN s2 ON s1.factor = s2.factor", "panel")
+def sr11_comparison(spark, sf_dir):
+    """Two symbols' factors side by side."""
+    d = layered(spark, sf_dir).where("trade_date = DATE '1997-03-03'")
+    one = lambda s, c: d.where(F.col("symbol") == s).select("factor", F.col("p").alias(c))
+    both = one("Brand#1", "first").join(one("Brand#2", "second"), "factor", "full")
+    return both.withColumn("difference", F.coalesce("first", F.lit(0.0)) - F.coalesce("second", F.lit(0.0)))
