@@ -160,6 +160,8 @@ class Decoder:
                     options.append((c, HALVES if n == 2 else SHORTENS * (n - 1), i + 1))
             else:
                 options += [(x * k, IMITATES * n + (SHORTENS if k < n else 0), i + 1) for x in LEET.get(c, "") for k in {1, min(n, 2)}]
+                if n == 2 and len(LEET.get(c, "")) == 2:  # one sign for two different letters: k!!l
+                    options += [(x + y, IMITATES * n, i + 1) for x, y in (LEET[c], LEET[c][::-1])]
                 if c in SEPARATORS:
                     options.append(("", DROPS * n if n < 3 else DROPS, i + 1))
                     if apart:
