@@ -9,40 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import bpe, mixing, near, pii, quality
-from panelwright.llm.common import keep, table
+from panelwright.llm.common import keep, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at its threshold or above."""
+    """Documents that the quality classifier scores at its threshold or above.
+
+    Null and empty texts have the bias's score; repeated rows and rows without a key are scored like any other.
+    """
+    small_batches(spark)
     scored = quality.scored(docs, table(spark, sf_dir, "labels"), into="__score")
     return scored.where(F.col("__score") >= quality.KEEP_FROM).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest key, of each class of near duplicates; rows without a key stay."""
-    classes = near.near_duplicates(docs)
-    first = classes.where("class_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One row of each class of near duplicates, that of smallest key.
+
+    Null texts are empty ones, so all empty texts are one class. Rows without a key stay. Rows that share
+    a key but not a text are judged each by its own text; a repeated row stays once, if it stays. No rows, no result rows.
+    """
+    small_batches(spark)
+    return near.one_of_each(docs.select(*COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind. All rows stay, null texts stay null, n_chars is counted again (null for null)."""
+    small_batches(spark)
     return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none to three times."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__key")
-    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__key"))).where("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: none to three times. Texts without words are never taken; rows without a key or source are rows like any other, repeated ones too."""
+    mixed = mixing.copied(docs)
+    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to, for every row."""
-    return bpe.digest(bpe.encode(docs.select("doc_id", "text"), decoded="decoded"))
+    """Token counts and digests of the ids and of what they decode to, for every row; null texts have no tokens."""
+    small_batches(spark)
+    return bpe.digest(bpe.encode(docs.select("doc_id", "text"), decoded="decoded", block_chars=8_000_000))
 
 
 STAGES = [

@@ -96,15 +96,17 @@ def opened(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", block_chars: int = 16_000_000) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", decoded: str | None = None, block_chars: int = 16_000_000) -> DataFrame:
     """`df` with array<int> `into`: the ids of each row's whole text. The file at `path` has to be on every executor.
 
     `df` is read twice and has to come in the same partitions both times, as tables do (write
     other plans to one first); a difference ends in an error, never in wrong ids. A column
     already named `into` is replaced; other columns and all rows stay. A text longer than a block is a block.
+    With `decoded`, what `decode` makes of the ids is added in the same task: one Python worker less for each.
     """
     path = path or default_path()
-    df = df.drop(into)
+    df = df.drop(into, *([decoded] if decoded else []))
+    pieces = pieces_of(path) if decoded else []
     special_ids = specials(path)
     special = list(special_ids)
 
@@ -180,7 +182,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str
         return pa.table([group.column("block"), group.column("bucket"), pa.array(blobs, pa.binary())], ["block", "bucket", "ids"])
 
     columns = df.columns
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{into}` array<int>"
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{into}` array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def by_position(left, right):
         import numpy as np
@@ -215,7 +217,8 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", into: str
                 offsets.append(offsets[-1] + len(got) // 4)
             values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(flat))])
             parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
-        return pa.Table.from_batches(held, rows.schema).select(columns).append_column(into, pa.chunked_array(parts, pa.list_(pa.int32())))
+        out = pa.Table.from_batches(held, rows.schema).select(columns).append_column(into, pa.chunked_array(parts, pa.list_(pa.int32())))
+        return out.append_column(decoded, pa.chunked_array(list(map(joiner(pieces), parts)), pa.string())) if decoded else out
 
     words = df.mapInArrow(gather, "block long, bucket int, words binary")
     # The upper bits of a block's number are its partition's.

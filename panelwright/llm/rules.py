@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, text_or_empty, words_of
+from .common import keep, let, text_or_empty, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: What rules may test. Ratios of an empty text are 0.
@@ -27,38 +27,65 @@ def _windows(words: Column) -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _places(g: Column) -> Column:
+    """Sorted places of the windows that are found twice or more."""
+    def repeated(s: Column) -> Column:
+        return F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+
+    # A few repeated windows are looked up one by one, many by sorting all windows with their places.
+    def few(d: Column) -> Column:
+        return F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(d, x), i).otherwise(-1)), lambda i: i >= 0)
+
+    def many(p: Column) -> Column:
+        at = lambda k: F.get(p, k)["g"]
+        twice = F.filter(p, lambda x, k: ((k > 0) & (x["g"] == at(k - 1))) | ((k + 1 < F.size(p)) & (x["g"] == at(k + 1))))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+    def of(d: Column) -> Column:
+        placed = lambda: F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        return F.when(F.size(d) == 0, F.array().cast("array<int>")).when(F.size(d) > 48, let(placed(), many)).otherwise(few(d))
+
+    distinct = F.size(F.array_distinct(g)) == F.size(g)
+    return F.when(distinct, F.array().cast("array<int>")).otherwise(let(let(F.sort_array(g), repeated), of))
+
+
+def _covered(at: Column) -> Column:
+    """Words in the windows at these sorted places: each covers the words up to the next place, three at most."""
+    return let(at, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, i: n + 3) - F.aggregate(F.transform(p, lambda i, k: F.when(k > 0, F.greatest(F.lit(0), F.get(p, k - 1) + 3 - i)).otherwise(0)), F.lit(0).cast("long"), lambda n, x: n + x))
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the ratios in STATS.
 
-    Null texts count as empty, with 0 everywhere; columns of these names are replaced. Windows
-    are told apart by 64-bit hashes of their three words.
+    Null texts count as empty, with 0 everywhere; columns of these names are replaced, all rows and other columns
+    stay. Windows are told apart by 64-bit hashes of their three words. Long texts cost time in
+    proportion, but for sorting their windows.
     """
     t = text_or_empty(F.col(text))
-    d = docs.withColumn("__w", words_of(F.col(text)))
-    d = d.withColumns({"__g": _windows(F.col("__w")), "__l": F.filter(F.split(t, "\n", -1), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0)})
-    d = d.withColumn("__s", F.when(F.size("__g") > F.size(F.array_distinct("__g")), F.array_sort("__g")))
-    same = F.expr("array_distinct(filter(__s, (x, i) -> i > 0 AND x = __s[i - 1]))")
-    d = d.withColumn("__d", same)
-    # Positions of repeated windows: a few repeated windows are looked up one by one, many by sorting all windows with their places.
-    few = F.expr("filter(transform(__g, (g, i) -> if(array_contains(__d, g), i, -1)), i -> i >= 0)")
-    d = d.withColumn("__p", F.when(F.size("__d") > 48, F.expr("array_sort(transform(__g, (g, i) -> struct(g, i)))")))
-    many = F.expr("array_sort(transform(filter(__p, (s, k) -> (k > 0 AND s.g = __p[k - 1].g) OR (k + 1 < size(__p) AND s.g = __p[k + 1].g)), s -> s.i))")
-    d = d.withColumn("__at", F.when(F.col("__d").isNull(), F.array().cast("array<int>")).when(F.size("__d") > 48, many).otherwise(few))
-    # Sorted places: each covers the words up to the next place, three at most.
-    covered = F.expr("aggregate(__at, named_struct('n', 0L, 'end', 0), (a, i) -> named_struct('n', a.n + (i + 3 - greatest(i, a.end)), 'end', i + 3), a -> a.n)")
-    chars = F.length(F.array_join("__w", ""))
-    d = d.withColumns({
-        "n_words": F.size("__w").cast("long"), "word_chars": chars.cast("long"), "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"), "n_repeat_words": covered.cast("long"),
-    })
     over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    d = d.withColumns({
-        "mean_letters": over(F.col("word_chars") - F.col("n_symbols"), F.col("n_words")), "symbol_share": over(F.col("n_symbols"), F.col("word_chars")),
-        "dup_line_share": over(F.col("n_dup_lines"), F.size("__l")), "repeat_share": over(F.col("n_repeat_words"), F.col("n_words")),
-        "upper_share": over(F.regexp_count(t, F.lit("[A-Z]")), F.col("word_chars")),
-        "lines_per_word": over(F.size("__l"), F.size("__w")),
-    })
-    return d.drop("__w", "__g", "__l", "__s", "__d", "__p", "__at")
+    blank = lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0
+
+    # One nested expression, so that a filter on a result never multiplies the steps before it.
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            _covered(let(_windows(w), _places)).cast("long").alias("n_repeat_words"), let(F.filter(F.split(t, "\n", -1), blank), of_lines).alias("lines"), F.regexp_count(t, F.lit("[A-Z]")).alias("upper"),
+        )
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
+
+    def of_counts(c: Column) -> Column:
+        ratios = {
+            "mean_letters": over(c["word_chars"] - c["n_symbols"], c["n_words"]), "symbol_share": over(c["n_symbols"], c["word_chars"]), "dup_line_share": over(c["lines"]["dup"], c["lines"]["n"]),
+            "repeat_share": over(c["n_repeat_words"], c["n_words"]), "upper_share": over(c["upper"], c["word_chars"]), "lines_per_word": over(c["lines"]["n"], c["n_words"]),
+        }
+        counts = [c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols")] + [c["lines"]["dup"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words")]
+        return F.struct(*counts, *(x.alias(name) for name, x in ratios.items()))
+
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATS[1:])
+    d = docs.withColumn("__stats", let(let(words_of(F.col(text)), of_words), of_counts))
+    return d.withColumns({n: F.col("__stats")[n] for n in names}).drop("__stats")
 
 
 Condition = tuple[str, str, float]
@@ -157,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, key: str = "d
     rows = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(key), key).limit(limit)
     known = measured(docs.select(key, "text").join(F.broadcast(rows), key))
     known = known.select(*(F.col(s).cast("double").alias(s) for s in STATS), (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("grow"), key), F.lit(3)) > 0).alias("grow"))
-    return learn(keep(known.coalesce(4), "rules-stats"))
+    return learn(keep(known, "rules-stats"))
 
 
 def digest(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
