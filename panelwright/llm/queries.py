@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, near, negatives, pages, pii, quality, rules, substrings, topk, toxicity
+from . import alignment, bpe, fingerprints, mixing, near, negatives, pages, pii, quality, rules, substrings, topk, toxicity
 from .common import small_batches, table as read
 
 
@@ -63,9 +63,13 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.mislabelled(table(spark, sf_dir, "embeddings")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(table(spark, sf_dir, "documents"))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op7_toxicity, op8_rules, op9_substrings, op10_pages, op11_negatives, op13_topk)}
+QUERIES = {f.__name__: f for f in (op1_near, op2_pii, op3_bpe, op4_quality, op5_fingerprints, op6_mixing, op7_toxicity, op8_rules, op9_substrings, op10_pages, op11_negatives, op12_alignment, op13_topk)}
 ORACLE_SQL: dict[str, str] = {"op9_substrings": substrings.SQL, "op11_negatives": negatives.SQL, "op13_topk": topk.SQL}
