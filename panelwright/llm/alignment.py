@@ -89,7 +89,7 @@ class Tokenizers:
         if not text:
             return b"", b""
         whole = " " + text
-        if self.split.simple(whole):
+        if "  " not in whole and self.split.simple(whole):  # the second tokenizer has tokens of several spaces
             a, b, fine = zip(*map(self.words.__getitem__, text.split(" ")))
             if all(fine):
                 return b"".join(a), b"".join(b)
