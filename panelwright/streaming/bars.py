@@ -40,16 +40,19 @@ def phases(features: DataFrame) -> DataFrame:
 
 
 def channel_walk(flags: DataFrame) -> DataFrame:
-    """(symbol, trade_date, phase, days) of a stream of `channel.flagged` rows: the eight-phase walk, its state kept by symbol; rows of a symbol have to come in order of date from batch to batch."""
+    """(symbol, trade_date, phase, days) of a stream of `channel.flagged` rows: the eight-phase walk, its state kept by symbol with the last date; a row at or before it is left out, as the walk has gone by."""
     def step(key, frames, state):
         import pandas as pd
 
-        phase, days, was = state.get if state.exists else (None, 0, None)
-        frame, (phase, days, was) = walked_frame(pd.concat(list(frames)), phase, days, was)
-        state.update((phase, days, was))
-        yield frame
+        phase, days, was, last = state.get if state.exists else (None, 0, None, "")
+        rows = pd.concat(list(frames))
+        rows = rows[rows["trade_date"].map(str) > last]
+        if len(rows):
+            frame, (phase, days, was) = walked_frame(rows, phase, days, was)
+            state.update((phase, days, was, str(rows["trade_date"].max())))
+            yield frame
 
-    return flags.groupBy("symbol").applyInPandasWithState(step, "symbol string, trade_date date, phase string, days int", "phase string, days int, was boolean", "append", "NoTimeout")
+    return flags.groupBy("symbol").applyInPandasWithState(step, "symbol string, trade_date date, phase string, days int", "phase string, days int, was boolean, last string", "append", "NoTimeout")
 
 
 def drain(df: DataFrame, path: str, checkpoint: str) -> None:
