@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import shapes
+from .operators import shapes, zones
 from .panel_queries import W_, query, t
 
 
@@ -79,3 +79,15 @@ def patterns(spark, sf_dir):
 def d08_chart_patterns(spark, sf_dir):
     """One row for each pattern that a bar shows, beside the bar's score."""
     return rows_of(patterns(spark, sf_dir), "patterns")
+
+
+@query("")
+def d09_zones(spark, sf_dir):
+    """The zones of each symbol's strokes; folds, tested against their definitions."""
+    return rows_of(zones.zone_state(t(spark, sf_dir, "bars")).select("symbol", "zones"), "zones")
+
+
+@query("")
+def d09_points(spark, sf_dir):
+    """The points of entry and exit that each symbol's last stroke makes, beside the symbol's score."""
+    return rows_of(zones.zone_state(t(spark, sf_dir, "bars")).select("symbol", "trade_date", "score", "points"), "points")
