@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import shapes, zones
+from .operators import levels, shapes, zones
 from .panel_queries import W_, query, t
 
 
@@ -91,3 +91,47 @@ def d09_zones(spark, sf_dir):
 def d09_points(spark, sf_dir):
     """The points of entry and exit that each symbol's last stroke makes, beside the symbol's score."""
     return rows_of(zones.zone_state(t(spark, sf_dir, "bars")).select("symbol", "trade_date", "score", "points"), "points")
+
+
+# Levels --------------------------------------------------------------------------------------------------
+
+_L120 = f"({W_} ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)"
+_MA = ", ".join(f"CASE WHEN count(*) OVER ({W_} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER ({W_} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END" for n in levels.MEANS)
+_LEVELS = f"""f0 AS (SELECT symbol, trade_date, close AS now, CAST(row_number() OVER ({W_}) AS INTEGER) AS i, high, low, vol, list(high) OVER {_L120} AS h, list(low) OVER {_L120} AS l, [{_MA}] AS means FROM bars),
+f AS (SELECT *, len(h) AS k, greatest(5, len(h) // 15) AS w FROM f0 WHERE len(h) >= 30),
+sw AS (SELECT symbol, trade_date, now, h, l, k, w, unnest(range(w + 1, k)) AS j FROM f),
+bins AS (SELECT f.symbol, f.trade_date, f.now, f.i, min(x.low) AS lo, max(x.high) AS hi FROM f JOIN f0 x ON x.symbol = f.symbol AND x.i BETWEEN f.i - 59 AND f.i WHERE f.k >= 60 GROUP BY ALL),
+vp AS (SELECT b.symbol, b.trade_date, b.now, lo + (hi - lo) * j / 20 AS e0, lo + (hi - lo) * (j + 1) / 20 AS e1, row_number() OVER (PARTITION BY b.symbol, b.i ORDER BY round(sum(CASE WHEN x.low <= lo + (hi - lo) * (j + 1) / 20 AND x.high >= lo + (hi - lo) * j / 20 THEN x.vol ELSE 0 END), 3) DESC, j DESC) AS o
+ FROM bins b, (SELECT CAST(unnest(range(20)) AS INTEGER) AS j) JOIN f0 x ON x.symbol = b.symbol AND x.i BETWEEN b.i - 59 AND b.i WHERE hi > lo GROUP BY b.symbol, b.trade_date, b.now, b.i, lo, hi, j),
+gp AS (SELECT f.symbol, f.trade_date, f.now, y.high AS h0, y.low AS l0, x.high AS h1, x.low AS l1 FROM f JOIN f0 x ON x.symbol = f.symbol AND x.i BETWEEN f.i - 59 AND f.i JOIN f0 y ON y.symbol = x.symbol AND y.i = x.i - 1 WHERE y.i > f.i - 120),
+rn AS (SELECT symbol, trade_date, now, (round(now / u) + m) * u AS price FROM (SELECT *, power(10.0, greatest(0.0, floor(log10(now + 1e-8)) - 1)) AS u FROM f), (SELECT unnest([-1, 0, 1]) AS m)),
+raw AS (
+ SELECT symbol, trade_date, now, CASE WHEN h[j] > now THEN 'resistance' ELSE 'support' END AS side, 'swing_high' AS label, h[j] AS price FROM sw WHERE h[j] = list_max(h[j - w : j + w]) AND h[j] > h[j - 1]
+ UNION ALL SELECT symbol, trade_date, now, CASE WHEN l[j] < now THEN 'support' ELSE 'resistance' END, 'swing_low', l[j] FROM sw WHERE l[j] = list_min(l[j - w : j + w]) AND l[j] < l[j - 1]
+ UNION ALL SELECT symbol, trade_date, now, CASE WHEN m < now THEN 'support' WHEN m > now THEN 'resistance' END, 'mean', m FROM (SELECT symbol, trade_date, now, unnest(means) AS m FROM f) WHERE abs(m - now) / now < 0.05
+ UNION ALL SELECT symbol, trade_date, now, CASE WHEN (e0 + e1) / 2 < now THEN 'support' WHEN (e0 + e1) / 2 > now THEN 'resistance' END, 'volume', (e0 + e1) / 2 FROM vp WHERE o <= 3 AND abs((e0 + e1) / 2 - now) / now < 0.08
+ UNION ALL SELECT symbol, trade_date, now, 'support', 'gap', h0 FROM gp WHERE l1 > h0 AND h0 < now UNION ALL SELECT symbol, trade_date, now, 'resistance', 'gap', l0 FROM gp WHERE h1 < l0 AND l0 > now
+ UNION ALL SELECT symbol, trade_date, now, CASE WHEN price < now THEN 'support' WHEN price > now THEN 'resistance' END, 'round', price FROM rn WHERE price > 0 AND abs(price - now) / now < 0.06),
+cd AS (SELECT DISTINCT symbol, trade_date, now, side, label, round(price + 3e-9, 2) AS price FROM raw WHERE side IS NOT NULL),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY symbol, trade_date, side ORDER BY price, label ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN round(price - lag(price) OVER (PARTITION BY symbol, trade_date, side ORDER BY price, label), 6) <= round(now * 0.002, 6) THEN 0 ELSE 1 END AS new FROM cd)),
+cl AS (SELECT symbol, trade_date, now, side, round(avg(price) + 3e-9, 6) AS price, min(price) AS low, max(price) AS high, count(*) AS strength, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM isl GROUP BY symbol, trade_date, now, side, island),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, trade_date, side ORDER BY round(abs(price - now), 6), price) AS INTEGER) AS rank FROM cl)"""
+
+
+def level_rows(spark, sf_dir):
+    return levels.clustered(levels.candidates(t(spark, sf_dir, "bars")))
+
+
+@query(f"{_LEVELS} SELECT symbol, trade_date, side, rank, {{price AS price}}, {{low AS low}}, {{high AS high}}, strength, labels FROM rk")
+def d05_level_clusters(spark, sf_dir):
+    """Every bar's support and resistance levels, the nearest first."""
+    return level_rows(spark, sf_dir).drop("now")
+
+
+_NEAR = lambda s, c: f"max(CASE WHEN side = '{s}' AND rank = 1 THEN {c} END)"
+
+
+@query(f"{_LEVELS}, ps AS (SELECT symbol, trade_date, max(now) AS now, {_NEAR('support', 'price')} AS s, {_NEAR('resistance', 'price')} AS r, {_NEAR('support', 'strength')} AS ss, {_NEAR('resistance', 'strength')} AS rs FROM rk GROUP BY symbol, trade_date), sh AS (SELECT *, round((now - s) / (CASE WHEN r > s THEN r - s ELSE 1 END), 9) AS share FROM ps) SELECT symbol, trade_date, {{s AS support}}, {{r AS resistance}}, ss AS support_strength, rs AS resistance_strength, CASE WHEN share < 0.25 THEN 'near_support' WHEN share > 0.75 THEN 'near_resistance' ELSE 'middle' END AS position, CASE WHEN s IS NULL THEN -10 WHEN r IS NULL THEN 10 WHEN share < 0.25 THEN 15 WHEN share > 0.75 THEN -15 ELSE 0 END AS score FROM sh")
+def d05_price_position(spark, sf_dir):
+    """Where every bar's close stands between its nearest levels."""
+    return levels.position(level_rows(spark, sf_dir))
