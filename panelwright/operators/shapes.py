@@ -5,10 +5,13 @@ else are expressions over that array, so a family costs one exchange and one sor
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import back, over, recursive
+from .features import A12, A14, A26, PREV, ROW
 from .panels import by_time
+from .spec import Stages
 
 #: Rows of a frame, rows over which a break is judged, rows on each side of a turning point.
 FRAME, RECENT, SIDE = 60, 20, 5
@@ -166,3 +169,60 @@ def chart_patterns(bars: DataFrame, pole: float = 15.0, flag: float = 8.0, box:
     points = F.aggregate(F.col("patterns"), F.lit(0), lambda s, p: s + p["points"])
     shown = F.transform("patterns", lambda p: p.dropFields("points"))
     return d.select("symbol", "trade_date", shown.alias("patterns"), F.greatest(F.lit(-40), F.least(F.lit(40), points)).alias("score"))
+
+
+# Divergences between turning points ----------------------------------------------------------------------
+
+
+def pivot_inputs() -> Stages:
+    """Bars with `dif` (means of 12 and 26 rows, from the first row on) and `rsi` (14 rows, seeded by their plain mean; null before)."""
+    moves = {"up": "(CASE WHEN close > pc THEN close - pc ELSE 0.0 END)", "down": "(CASE WHEN close < pc THEN pc - close ELSE 0.0 END)"}
+    seeds = {f"m{k}": f"avg({k}) {over(back(14))}" for k in ("up", "down")}
+    means = [a | b for a, b in zip(recursive(14, su=("up", A14, "mup"), sdn=("down", A14, "mdown")), recursive(e12=("close", A12), e26=("close", A26)))]
+    out = {"dif": "e12 - e26", "rsi": "(CASE WHEN i < 14 THEN NULL WHEN sdn > 0 THEN 100 - 100 / (1 + su / sdn) ELSE 100 - 100 / 101.0 END)"}
+    return Stages("bars", (PREV | ROW, moves, seeds, *means, out), ("i", "high", "low", "dif", "rsi"))
+
+
+def last_two_turns(d: DataFrame, x: str, into: str, side: int, w: int, lookback: int) -> DataFrame:
+    """`d` with array `into`: the last two rows, as structs of i, x, dif and rsi, that no row up to `w` before and `w` after exceeds, as known at each row.
+
+    A turn is certain `w` rows later; among the last `w` rows one counts if no row after it so far exceeds it. Certain turns come from windows over turns
+    only (the last one and, with it, the one before), so no row holds more than `w` bars. side is 1 for tops, -1 for bottoms.
+    """
+    t = by_time()
+    y = F.col(x) * side
+    left = F.when(F.count(x).over(t.rowsBetween(-w, -1)) == w, F.max(y).over(t.rowsBetween(-w, -1)))
+    right = F.when(F.count(x).over(t.rowsBetween(1, w)) == w, F.max(y).over(t.rowsBetween(1, w)))
+    turn = F.struct("i", F.col(x).alias("x"), "dif", "rsi")
+    d = d.withColumns({"__turn": turn, "__left": left, "__right": right}).withColumn("__sure", F.when((y >= F.col("__left")) & (y >= F.col("__right")), F.col("__turn")))
+    d = d.withColumn("__before", F.last("__sure", ignorenulls=True).over(t.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("__pair", F.when(F.col("__sure").isNotNull(), F.array("__before", "__sure")))
+    known = F.last("__pair", ignorenulls=True).over(t.rowsBetween(Window.unboundedPreceding, -w))
+    recent = F.collect_list(F.struct(F.col("__turn").alias("t"), y.alias("y"), F.col("__left").alias("l"))).over(t.rowsBetween(1 - w, 0))
+    d = d.withColumns({"__known": known, "__recent": recent})
+    rest = lambda j: F.slice("__recent", j + 2, F.greatest(F.size("__recent") - j - 1, F.lit(0)))
+    maybe = F.transform(F.filter("__recent", lambda r, j: r["l"].isNotNull() & (r["y"] >= r["l"]) & ~F.exists(rest(j), lambda s: s["y"] > r["y"])), lambda r: r["t"])
+    every = F.filter(F.concat(F.coalesce("__known", F.array().cast("array<struct<i: double, x: double, dif: double, rsi: double>>")), maybe), lambda s: s.isNotNull() & (F.col("i") - s["i"] < lookback - w))
+    return d.withColumn(into, F.slice(every, F.greatest(F.size(every) - 1, F.lit(1)), 2)).drop("__turn", "__left", "__right", "__sure", "__before", "__pair", "__known", "__recent")
+
+
+def divergences(d: DataFrame, w: int = 5, lookback: int = 200, least: int = 40) -> DataFrame:
+    """(symbol, trade_date, macd_top, macd_bottom, rsi_top, rsi_bottom, macd_magnitude, rsi_magnitude, bars_ago, score) of `pivot_inputs`.
+
+    A top diverges if the last of two tops is higher while dif (rsi, by over 2) is lower there; bottoms the other way. Magnitudes are the change of dif by its larger size and of rsi by
+    25, 1 at most. The score has 15 to 30 points for dif, 12 to 25 for rsi and 15 for both, bottoms minus tops, within -100 to 100. Nothing in a symbol's first `least` rows.
+    """
+    d = last_two_turns(last_two_turns(d, "high", "tops", 1, w, lookback), "low", "bottoms", -1, w, lookback)
+    found, ago = {}, []
+    for name, side in (("top", 1), ("bottom", -1)):
+        a, b = F.get(f"{name}s", F.lit(0)), F.get(f"{name}s", F.lit(1))
+        further = (F.col("i") >= least - 1) & ((b["x"] - a["x"]) * side > 0)
+        by_dif = F.coalesce(further & ((a["dif"] - b["dif"]) * side > 0), F.lit(False))
+        by_rsi = F.coalesce(further & ((a["rsi"] - b["rsi"]) * side > 2), F.lit(False))
+        size = F.greatest(F.abs(a["dif"]), F.abs(b["dif"]), F.lit(1e-6))
+        found |= {f"macd_{name}": by_dif, f"rsi_{name}": by_rsi, f"__m_{name}": F.when(by_dif, F.least(F.lit(1.0), F.round(F.abs(a["dif"] - b["dif"]) / size, 9))), f"__r_{name}": F.when(by_rsi, F.least(F.lit(1.0), F.round(F.abs(a["rsi"] - b["rsi"]) / 25, 9))), f"__ago_{name}": F.when(by_dif | by_rsi, F.col("i") - b["i"])}
+    d = d.withColumns(found)
+    points = lambda name: F.coalesce(15 + F.floor(F.col(f"__m_{name}") * 15), F.lit(0)) + F.coalesce(12 + F.floor(F.col(f"__r_{name}") * 13), F.lit(0)) + F.when(F.col(f"macd_{name}") & F.col(f"rsi_{name}"), 15).otherwise(0)
+    larger = lambda k: F.coalesce(F.greatest(f"__{k}_top", f"__{k}_bottom"), F.lit(0.0))
+    total = F.greatest(F.lit(-100), F.least(F.lit(100), points("bottom") - points("top"))).cast("int")
+    return d.select("symbol", "trade_date", "macd_top", "macd_bottom", "rsi_top", "rsi_bottom", larger("m").alias("macd_magnitude"), larger("r").alias("rsi_magnitude"), F.least("__ago_top", "__ago_bottom").cast("int").alias("bars_ago"), total.alias("score"))

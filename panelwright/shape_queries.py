@@ -135,3 +135,27 @@ _NEAR = lambda s, c: f"max(CASE WHEN side = '{s}' AND rank = 1 THEN {c} END)"  #
 def d05_price_position(spark, sf_dir):
     """Where every bar's close stands between its nearest levels."""
     return levels.position(level_rows(spark, sf_dir))
+
+
+# Divergences ---------------------------------------------------------------------------------------------
+
+
+def _pair(name: str, x: str, sign: int) -> str:
+    """The last two turns known at each row, by joining rows to those before them."""
+    y, most = (f"{'-' if sign < 0 else ''}{x}"), "max"
+    return f"""t_{name} AS (SELECT symbol, i, {x}, dif, rsi, {y} AS y, CASE WHEN count(*) OVER b = 5 THEN {most}({y}) OVER b END AS lm FROM inp WINDOW b AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+k_{name} AS (SELECT a.symbol, a.i AS ni, p.i, p.{x} AS x, p.dif, p.rsi FROM inp a JOIN t_{name} p ON p.symbol = a.symbol AND p.i <= a.i AND a.i - p.i < 195 WHERE p.y >= p.lm AND NOT EXISTS (SELECT 1 FROM t_{name} x WHERE x.symbol = p.symbol AND x.i > p.i AND x.i <= least(p.i + 5, a.i) AND x.y > p.y)),
+r_{name} AS (SELECT *, row_number() OVER (PARTITION BY symbol, ni ORDER BY i DESC) AS o FROM k_{name}),
+d_{name} AS (SELECT b.symbol, b.ni, b.i, {sign} * (b.x - a.x) > 0 AND {sign} * (a.dif - b.dif) > 0 AS m, {sign} * (b.x - a.x) > 0 AND {sign} * (a.rsi - b.rsi) > 2 AS r, least(1.0, round(abs(a.dif - b.dif) / greatest(abs(a.dif), abs(b.dif), 1e-6), 9)) AS mm, least(1.0, round(abs(a.rsi - b.rsi) / 25, 9)) AS rm FROM r_{name} a JOIN r_{name} b ON a.symbol = b.symbol AND a.ni = b.ni AND a.o = 2 AND b.o = 1 WHERE b.ni >= 39)"""
+
+
+_INPUTS = shapes.pivot_inputs()
+_I, _LAST_I = _INPUTS.sql("bars").rsplit("\nSELECT ", 1)
+_PTS = lambda n: f"CASE WHEN {n}.m THEN 15 + floor({n}.mm * 15) ELSE 0 END + CASE WHEN {n}.r THEN 12 + floor({n}.rm * 13) ELSE 0 END + CASE WHEN {n}.m AND {n}.r THEN 15 ELSE 0 END"
+_AGO = lambda n: f"CASE WHEN {n}.m OR {n}.r THEN inp.i - {n}.i END"
+
+
+@query(f"{_I}, inp AS (SELECT {_LAST_I}), {_pair('top', 'high', 1)}, {_pair('bot', 'low', -1)} SELECT inp.symbol, trade_date, coalesce(d_top.m, false) AS macd_top, coalesce(d_bot.m, false) AS macd_bottom, coalesce(d_top.r, false) AS rsi_top, coalesce(d_bot.r, false) AS rsi_bottom, {{greatest(CASE WHEN d_top.m THEN d_top.mm ELSE 0 END, CASE WHEN d_bot.m THEN d_bot.mm ELSE 0 END) AS macd_magnitude}}, {{greatest(CASE WHEN d_top.r THEN d_top.rm ELSE 0 END, CASE WHEN d_bot.r THEN d_bot.rm ELSE 0 END) AS rsi_magnitude}}, CAST(least({_AGO('d_top')}, {_AGO('d_bot')}) AS INTEGER) AS bars_ago, CAST(greatest(-100, least(100, {_PTS('d_bot')} - ({_PTS('d_top')}))) AS INTEGER) AS score FROM inp LEFT JOIN d_top ON d_top.symbol = inp.symbol AND d_top.ni = inp.i LEFT JOIN d_bot ON d_bot.symbol = inp.symbol AND d_bot.ni = inp.i")
+def d03_pivot_divergences(spark, sf_dir):
+    """Divergences of dif and rsi between the last two tops and bottoms known at every bar."""
+    return shapes.divergences(_INPUTS.apply(t(spark, sf_dir, "bars")))
