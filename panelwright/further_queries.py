@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import student
 from .operators import panels as P
 from .operators.spec import rounded
 from .panel_queries import FACTS, STATS, W_, facts, lab, query, t
@@ -180,27 +181,28 @@ def st03_kept_source(spark, sf_dir):
 # Evaluation ----------------------------------------------------------------------------------------------------
 
 
-def normal_tail(t_value: Column) -> Column:
-    """Two-sided p of a t for many rows, by the normal distribution's tail (a rational approximation of erfc, error under 1.5e-7)."""
-    x = F.abs(t_value) / 2**0.5
-    k = 1 / (1 + 0.3275911 * x)
-    return k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-x * x)
+def _tail_sql(x: str, n: str) -> str:
+    """Two-sided p of t = x for whole degrees of freedom n, by the finite series of sines and cosines."""
+    angle = f"atan(abs({x}) / sqrt({n}))"
+    odd = f"2 / pi() * ({angle} + CASE WHEN {n} > 1 THEN sin({angle}) * cos({angle}) * sqrt(pi()) / 2 * list_sum(list_transform(range(CAST(({n} - 1) // 2 AS BIGINT)), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + 2 * k * ln(cos({angle}))))) ELSE 0 END)"
+    even = f"sin({angle}) / sqrt(pi()) * list_sum(list_transform(range(CAST({n} // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) + 2 * k * ln(cos({angle})))))"
+    return f"(1 - CASE WHEN {n} % 2 = 1 THEN {odd} ELSE {even} END)"
 
 
-def _tail_sql(x: str) -> str:
-    z, k = f"(abs({x}) / sqrt(2.0))", f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2.0)))"
-    return f"({k} * (0.254829592 + {k} * (-0.284496736 + {k} * (1.421413741 + {k} * (-1.453152027 + {k} * 1.061405429)))) * exp(-{z} * {z}))"
+_ALPHA = "a AS (SELECT industry, cap, r_20, r_20 - avg(r_20) OVER (PARTITION BY trade_date) AS alpha FROM facts WHERE r_20 IS NOT NULL)"
+_SIDE = lambda c: f"avg(r_20) FILTER (WHERE cap {c}) AS m, count(*) FILTER (WHERE cap {c}) AS n, var_samp(r_20) FILTER (WHERE cap {c}) / count(*) FILTER (WHERE cap {c}) AS e"
 
 
-@query(f"{FACTS}, a AS (SELECT industry, cap, r_20, r_20 - avg(r_20) OVER (PARTITION BY trade_date) AS alpha FROM facts WHERE r_20 IS NOT NULL), g AS (SELECT industry, count(*) AS n, avg(alpha) AS m, avg(alpha) / nullif(stddev_samp(alpha) / sqrt(count(*)), 0) AS t, (avg(r_20) FILTER (WHERE cap <= 1) - avg(r_20) FILTER (WHERE cap > 1)) / nullif(sqrt(var_samp(r_20) FILTER (WHERE cap <= 1) / count(*) FILTER (WHERE cap <= 1) + var_samp(r_20) FILTER (WHERE cap > 1) / count(*) FILTER (WHERE cap > 1)), 0) AS t2, avg(CASE WHEN round(alpha, 9) > 0 THEN 1.0 ELSE 0.0 END) AS w FROM a GROUP BY industry) SELECT industry, n, {{m AS mean}}, {{t AS t}}, {{{_tail_sql('t')} AS p}}, {{CASE WHEN t > 0 THEN {_tail_sql('t')} / 2 ELSE 1 - {_tail_sql('t')} / 2 END AS p_one}}, {{t2 AS t_two}}, {{{_tail_sql('t2')} AS p_two}}, {{w AS wins}} FROM g", "panel")
+@query(f"{FACTS}, {_ALPHA}, g1 AS (SELECT industry, count(*) AS n, avg(alpha) AS m, avg(alpha) / nullif(stddev_samp(alpha) / sqrt(count(*)), 0) AS t, avg(CASE WHEN round(alpha, 9) > 0 THEN 1.0 ELSE 0.0 END) AS w FROM a GROUP BY industry), lo AS (SELECT industry, {_SIDE('<= 1')} FROM a GROUP BY industry), hi AS (SELECT industry, {_SIDE('> 1')} FROM a GROUP BY industry), g AS (SELECT g1.*, (lo.m - hi.m) / nullif(sqrt(lo.e + hi.e), 0) AS t2, floor(round(power(lo.e + hi.e, 2) / (lo.e * lo.e / (lo.n - 1) + hi.e * hi.e / (hi.n - 1)), 6)) AS f2 FROM g1 JOIN lo USING (industry) JOIN hi USING (industry)) SELECT industry, n, {{m AS mean}}, {{t AS t}}, {{{_tail_sql('t', '(n - 1)')} AS p}}, {{CASE WHEN t > 0 THEN {_tail_sql('t', '(n - 1)')} / 2 ELSE 1 - {_tail_sql('t', '(n - 1)')} / 2 END AS p_one}}, {{t2 AS t_two}}, {{f2 AS freedom_two}}, {{{_tail_sql('t2', 'f2')} AS p_two}}, {{w AS wins}} FROM g", "panel")
 def ev08_tests(spark, sf_dir):
-    """t of paired alpha with its two- and one-sided p, the two-sample t of small against large, and the share of wins."""
+    """t of paired alpha with its two- and one-sided p, the two-sample t of small against large with whole degrees of freedom for unequal variances, and the share of wins."""
     d = facts(spark, sf_dir).where("r_20 IS NOT NULL").withColumn("alpha", F.col("r_20") - F.avg("r_20").over(Window.partitionBy("trade_date")))
-    small, large = F.when(F.col("cap") <= 1, F.col("r_20")), F.when(F.col("cap") > 1, F.col("r_20"))
-    error = F.sqrt(F.var_samp(small) / F.count(small) + F.var_samp(large) / F.count(large))
-    g = d.groupBy("industry").agg(*P.t_test("alpha"), ((F.avg(small) - F.avg(large)) / F.nullif(error, F.lit(0.0))).alias("t_two"), F.avg(F.when(F.round("alpha", 9) > 0, 1.0).otherwise(0.0)).alias("wins"))
-    p = normal_tail(F.col("t"))
-    return g.select("industry", "n", "mean", "t", p.alias("p"), F.when(F.col("t") > 0, p / 2).otherwise(1 - p / 2).alias("p_one"), "t_two", normal_tail(F.col("t_two")).alias("p_two"), "wins")
+    side = {"a": F.when(F.col("cap") <= 1, F.col("r_20")), "b": F.when(F.col("cap") > 1, F.col("r_20"))}
+    g = d.groupBy("industry").agg(*P.t_test("alpha"), *(f.alias(f"{c}_{k}") for k, x in side.items() for c, f in (("m", F.avg(x)), ("n", F.count(x)), ("e", F.var_samp(x) / F.count(x)))), F.avg(F.when(F.round("alpha", 9) > 0, 1.0).otherwise(0.0)).alias("wins"))
+    ea, eb = F.col("e_a"), F.col("e_b")
+    g = g.withColumns({"t_two": (F.col("m_a") - F.col("m_b")) / F.nullif(F.sqrt(ea + eb), F.lit(0.0)), "freedom_two": F.floor(F.round((ea + eb) * (ea + eb) / (ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1)), 6)).cast("double")})
+    t, n = F.col("t"), F.col("n") - 1
+    return g.select("industry", "n", "mean", "t", student.two_sided(t, n).alias("p"), student.one_sided(t, n).alias("p_one"), "t_two", "freedom_two", student.two_sided(F.col("t_two"), F.col("freedom_two")).alias("p_two"), "wins")
 
 
 @query(f"{FACTS}, ok AS (SELECT trade_date, bias AS x, {_R9} AS y FROM facts WHERE r_20 IS NOT NULL), rk AS (SELECT *, rank() OVER (PARTITION BY trade_date ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY trade_date ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, y) - 1) / 2 AS ry FROM ok), d AS (SELECT trade_date, count(*) AS n, covar_pop(x, y) / nullif(round(stddev_pop(x) * stddev_pop(y), 12), 0) AS ic, covar_pop(rx, ry) / nullif(round(stddev_pop(rx) * stddev_pop(ry), 12), 0) AS ric FROM rk GROUP BY trade_date), b AS (SELECT least(9, floor((x + 0.05) * 100)) AS bx, least(9, floor((y + 5))) AS yb FROM ok), j AS (SELECT bx, yb, count(*) / sum(count(*)) OVER () AS p FROM b GROUP BY ALL), mi AS (SELECT sum(p * ln(p / (px * py))) AS mi FROM (SELECT p, sum(p) OVER (PARTITION BY bx) AS px, sum(p) OVER (PARTITION BY yb) AS py FROM j)) SELECT {{avg(ic) AS ic}}, {{avg(ric) AS rank_ic}}, {{avg(ic) / stddev_samp(ic) AS icir}}, {{avg(ric) / stddev_samp(ric) AS rank_icir}}, {{(SELECT mi FROM mi) AS mutual_information}} FROM d WHERE n >= 10", "panel")
