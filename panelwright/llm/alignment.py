@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +42,6 @@ def piece_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Words(dict):
-    """word -> (the ids' bytes of both tokenizers, whether both say the word's own bytes); a missing word is encoded and remembered."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes, bool]:
-        if len(self) > WORDS:
-            self.clear()
-        got = self[word] = self.encode(word)
-        return got
-
-
 class Tokenizers:
     """Ids of space + text by both tokenizers, and every id's bytes. Words are encoded once and remembered.
 
@@ -74,7 +61,8 @@ class Tokenizers:
         self.space = [self.sp.piece_to_id("▁")]
         self.encode_a, self.split = encoder(path_a), Splitter([])
         self.spaced = re.compile(" +[^ ]*").findall
-        self.words = Words(lambda w: self.coded(" " + w, [" " + w], [" " + w]))
+        #: word -> the ids' bytes of both tokenizers, and whether both say the word's own bytes.
+        self.words: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def coded(self, whole: str, pieces: list[str], words: list[str]) -> tuple[bytes, bytes, bool]:
         """Both tokenizers' ids of a text given as the first one's pieces and as spaces with what follows; the second adds a word's first space itself."""
@@ -84,17 +72,45 @@ class Tokenizers:
         fine = b"".join([self.bytes_a[i] for i in a]) == said == b"".join([self.bytes_b[i] for i in b])
         return np.asarray(a, np.int32).tobytes(), np.asarray(b, np.int32).tobytes(), fine
 
-    def ids(self, text: str | None) -> tuple[bytes, bytes]:
-        """Both lists of ids as int32, empty where there are no tokens."""
-        if not text:
-            return b"", b""
-        whole = " " + text
-        if "  " not in whole and self.split.simple(whole):  # the second tokenizer has tokens of several spaces
-            a, b, fine = zip(*map(self.words.__getitem__, text.split(" ")))
-            if all(fine):
-                return b"".join(a), b"".join(b)
-        a, b, fine = self.coded(whole, self.split.pieces(whole), self.spaced(whole))
-        return (a, b) if fine else (b"", b"")
+    def learn(self, lists: list[list[str]]) -> None:
+        """Encodes the words that no text had before, all of them at once."""
+        every = set().union(*lists)
+        if len(self.words) + len(every) > WORDS:
+            self.words.clear()
+        new = list(every - self.words.keys())
+        a, b = list(map(self.encode_a, [" " + w for w in new])), self.sp.encode(new, num_threads=1)
+        if "" in every:
+            b = [ids or self.space for ids in b]
+        whole = [(" " + w).encode() for w in new]
+        parts, fine = [], np.ones(len(new), bool)
+        for ids, piece in ((a, self.bytes_a), (b, self.bytes_b)):
+            said = [b"".join(map(piece.__getitem__, x)) for x in ids]
+            if said != whole:
+                fine &= [x == y for x, y in zip(said, whole)]
+            ends = [0, *np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()]
+            data = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1] // 4).tobytes()
+            parts.append([data[x:y] for x, y in zip(ends, ends[1:])])
+        self.words.update(zip(new, zip(*parts, fine.tolist())))
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Of each text both lists of ids as int32, empty where there are no tokens."""
+        # A text is encoded by words if white space never meets: the second tokenizer has tokens of several spaces.
+        split = [t.split(" ") if t and "  " not in (whole := " " + t) and self.split.simple(whole) else None for t in texts]
+        self.learn([x for x in split if x])
+        out = []
+        for text, words in zip(texts, split):
+            if not text:
+                out.append((b"", b""))
+                continue
+            if words:
+                a, b, fine = zip(*map(self.words.__getitem__, words))
+                if all(fine):
+                    out.append((b"".join(a), b"".join(b)))
+                    continue
+            whole = " " + text
+            a, b, fine = self.coded(whole, self.split.pieces(whole), self.spaced(whole))
+            out.append((a, b) if fine else (b"", b""))
+        return out
 
 
 def runs(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +180,11 @@ class Aligner:
         self.length_a, self.length_b = np.asarray([len(x) for x in t.bytes_a]), np.asarray([len(x) for x in t.bytes_b])
         n, m = len(t.bytes_a), len(t.bytes_b)
         #: What is written of a token: an id of either tokenizer within a group, then the last of a group.
-        self.written = [f"{i},".encode() for i in range(n)] + [f"{i}|".encode() for i in range(n)] + [f"{i},".encode() for i in range(m)] + [f"{i};".encode() for i in range(m)]
+        self.written = np.asarray([f"{i},".encode() for i in range(n)] + [f"{i}|".encode() for i in range(n)] + [f"{i},".encode() for i in range(m)] + [f"{i};".encode() for i in range(m)])
 
     def ids(self, texts: list[str | None]):
         """Flat ids of both, and where each text's end."""
-        a, b = zip(*map(self.tokens.ids, texts))
+        a, b = zip(*self.tokens.ids(texts))
         ends = np.zeros((len(texts) + 1, 2), np.int64)
         ends[1:, 0], ends[1:, 1] = np.cumsum([len(x) // 4 for x in a]), np.cumsum([len(x) // 4 for x in b])
         return np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32), ends
@@ -185,11 +201,12 @@ class Aligner:
         last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         last_a[ga - 1], last_b[gb - 1] = True, True
         n, m = len(self.tokens.bytes_a), len(self.tokens.bytes_b)
-        order = np.empty(len(a) + len(b), np.int64)
+        order = np.empty(len(a) + len(b), np.int32)
         order[np.arange(len(a)) + np.repeat(gb - nb, na)] = a + n * last_a
         order[np.arange(len(b)) + np.repeat(ga, nb)] = 2 * n + b + m * last_b
-        cuts, of = ends.sum(1).tolist(), self.written.__getitem__
-        digests = [hashlib.sha256(b"".join(map(of, order[x:y].tolist()))[:-1]).hexdigest() if y > x else "" for x, y in zip(cuts[:-1], cuts[1:])]
+        cuts = ends.sum(1).tolist()
+        # Shorter numbers are filled up with zero bytes, which go again.
+        digests = [hashlib.sha256(self.written[order[x:y]].tobytes().translate(None, b"\0")[:-1]).hexdigest() if y > x else "" for x, y in zip(cuts[:-1], cuts[1:])]
         counts = np.column_stack([np.diff(ends, axis=0), np.bincount(doc, minlength=len(texts))])
         return counts, digests, links_of(a, b, ga, gb, doc)
 
