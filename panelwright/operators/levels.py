@@ -75,7 +75,7 @@ def position(levels: DataFrame) -> DataFrame:
     at = lambda side, c: F.max(F.when((F.col("side") == side) & (F.col("rank") == 1), F.col(c)))
     d = levels.groupBy("symbol", "trade_date").agg(F.max("now").alias("now"), *(at(s, c).alias(n) for s in ("support", "resistance") for c, n in (("price", s), ("strength", f"{s}_strength"))))
     s, r = F.col("support"), F.col("resistance")
-    share = F.round((F.col("now") - s) / F.when(r > s, r - s).otherwise(1.0), 9)
+    share = F.round((F.col("now") - s) / F.when(r > s, r - s).when(r <= s, 1.0), 9)
     d = d.withColumn("position", F.when(share < 0.25, "near_support").when(share > 0.75, "near_resistance").otherwise("middle"))
     score = F.when(s.isNotNull() & r.isNotNull(), F.when(F.col("position") == "near_support", 15).when(F.col("position") == "near_resistance", -15).otherwise(0)).when(s.isNotNull(), 10).otherwise(-10)
     return d.withColumn("score", score).drop("now")

@@ -131,7 +131,7 @@ def d05_level_clusters(spark, sf_dir):
 _NEAR = lambda s, c: f"max(CASE WHEN side = '{s}' AND rank = 1 THEN {c} END)"
 
 
-@query(f"{_LEVELS}, ps AS (SELECT symbol, trade_date, max(now) AS now, {_NEAR('support', 'price')} AS s, {_NEAR('resistance', 'price')} AS r, {_NEAR('support', 'strength')} AS ss, {_NEAR('resistance', 'strength')} AS rs FROM rk GROUP BY symbol, trade_date), sh AS (SELECT *, round((now - s) / (CASE WHEN r > s THEN r - s ELSE 1 END), 9) AS share FROM ps) SELECT symbol, trade_date, {{s AS support}}, {{r AS resistance}}, ss AS support_strength, rs AS resistance_strength, CASE WHEN share < 0.25 THEN 'near_support' WHEN share > 0.75 THEN 'near_resistance' ELSE 'middle' END AS position, CASE WHEN s IS NULL THEN -10 WHEN r IS NULL THEN 10 WHEN share < 0.25 THEN 15 WHEN share > 0.75 THEN -15 ELSE 0 END AS score FROM sh")
+@query(f"{_LEVELS}, ps AS (SELECT symbol, trade_date, max(now) AS now, {_NEAR('support', 'price')} AS s, {_NEAR('resistance', 'price')} AS r, {_NEAR('support', 'strength')} AS ss, {_NEAR('resistance', 'strength')} AS rs FROM rk GROUP BY symbol, trade_date), sh AS (SELECT *, round((now - s) / (CASE WHEN r > s THEN r - s WHEN r <= s THEN 1 END), 9) AS share FROM ps) SELECT symbol, trade_date, {{s AS support}}, {{r AS resistance}}, ss AS support_strength, rs AS resistance_strength, CASE WHEN share < 0.25 THEN 'near_support' WHEN share > 0.75 THEN 'near_resistance' ELSE 'middle' END AS position, CASE WHEN s IS NULL THEN -10 WHEN r IS NULL THEN 10 WHEN share < 0.25 THEN 15 WHEN share > 0.75 THEN -15 ELSE 0 END AS score FROM sh")
 def d05_price_position(spark, sf_dir):
     """Where every bar's close stands between its nearest levels."""
     return levels.position(level_rows(spark, sf_dir))
