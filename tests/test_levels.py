@@ -51,7 +51,7 @@ def inputs(spark, highs, difs, rsis, mirrored=False):
 
 
 def two_tops(second, dif, rsi):
-    price = [100 + 5 * max(0, 1 - abs(i - 40) / 6) + (second - 100) * max(0, 1 - abs(i - 60) / 6) for i in range(80)]
+    price = [100.0 + 5 * max(0, 1 - abs(i - 40) / 6) + (second - 100) * max(0, 1 - abs(i - 60) / 6) for i in range(80)]
     return [(p, p - 50 - 0.01 * i) for i, p in enumerate(price)], [2.0 if i < 50 else dif for i in range(80)], [70.0 if i < 50 else rsi for i in range(80)]
 
 
