@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_queries, further_queries, layer_queries, live_queries, model_queries, more_queries, panel_queries, quant_queries, relation_queries, score_queries, segment_queries, shape_queries, source_queries, table_queries  # noqa: F401  (the others register with panel_queries)
+from . import decision_queries, frame_queries, further_queries, layer_queries, live_queries, model_queries, more_queries, panel_queries, quant_queries, relation_queries, score_queries, segment_queries, shape_queries, source_queries, table_queries  # noqa: F401  (the others register with panel_queries)
 from .operators.features import FEATURES
 from .operators.scores import SCORES
 from .operators.spec import Stages
