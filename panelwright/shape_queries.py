@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import levels, shapes, zones
+from .operators import candles, levels, shapes, zones
 from .panel_queries import W_, query, t
 
 
@@ -159,3 +159,12 @@ _AGO = lambda n: f"CASE WHEN {n}.m OR {n}.r THEN inp.i - {n}.i END"  # noqa: E73
 def d03_pivot_divergences(spark, sf_dir):
     """Divergences of dif and rsi between the last two tops and bottoms known at every bar."""
     return shapes.divergences(_INPUTS.apply(t(spark, sf_dir, "bars")))
+
+
+# Candles -------------------------------------------------------------------------------------------------
+
+
+@query(f"{candles.sql()} SELECT symbol, trade_date, {{place AS place}}, name, direction, CAST(confidence AS INTEGER) AS confidence FROM cp")
+def d01_all_candles(spark, sf_dir):
+    """Every candle pattern of every bar with its confidence."""
+    return rows_of(candles.candle_patterns(t(spark, sf_dir, "bars")), "patterns")
