@@ -64,7 +64,7 @@ def ml04_walk_forward(spark, sf_dir):
             got = M.fit_gbt(train, features, "r_20", trees=4, depth=3).transform(test.where(F.year("trade_date") == year))
             got = got.withColumns({"window": F.lit(year), "features": F.lit(name), "y": (F.col("r_20") > 0).cast("int")})
             area = P.auc(got, "pred", "y", ["window", "features"])
-            ic = got.groupBy("window", "features").agg(F.corr("pred", "r_20").alias("ic"))
+            ic = got.groupBy("window", "features").agg(P.correlation("pred", "r_20").alias("ic"))
             out.append(area.join(ic, ["window", "features"]))
     return reduce(lambda a, b: a.unionByName(b), out)
 

@@ -190,11 +190,18 @@ def information_coefficients(d: DataFrame, factors: list[str], labels: list[str]
     long = d.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     keys = ["factor", "label", *by]
     ranked = long.withColumns({"rx": average_rank("x", keys), "ry": average_rank("y", keys)})
-    # corr() fails on a constant input; this is null there.
+    # Null, not NaN, for a constant input.
     safe = lambda a, b: F.covar_pop(a, b) / F.nullif(F.round(F.stddev_pop(a) * F.stddev_pop(b), 12), F.lit(0.0))
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe("x", "y").alias("ic"), safe("rx", "ry").alias("rank_ic"))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation of the rows that have both; NaN, as in SQL, where either is constant (Spark's corr() divides by zero there), null without rows."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
 def auc(d: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve by the rank-sum formula, ties averaged."""
     ranked = d.where(f"{score} IS NOT NULL AND {label} IS NOT NULL").withColumn("rk", average_rank(score, by) if by else average_rank(score, [F.lit(0)]))

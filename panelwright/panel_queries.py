@@ -205,7 +205,7 @@ def ag18_interval_return(spark, sf_dir):
 
 @query(f"{FACTS} SELECT {{corr(bias, place) AS bias_place}}, {{corr(bias, surge) AS bias_surge}}, {{corr(place, surge) AS place_surge}} FROM facts", "panel")
 def ag19_correlations(spark, sf_dir):
-    return facts(spark, sf_dir).agg(*(F.corr(a, b).alias(f"{a}_{b}") for a, b in (("bias", "place"), ("bias", "surge"), ("place", "surge"))))
+    return facts(spark, sf_dir).agg(*(P.correlation(a, b).alias(f"{a}_{b}") for a, b in (("bias", "place"), ("bias", "surge"), ("place", "surge"))))
 
 
 QUINT = "CASE WHEN x IS NOT NULL THEN CAST(greatest(1, ceil((row_number() OVER (PARTITION BY f, x IS NOT NULL ORDER BY x, symbol, trade_date) - 1) / greatest(count(*) OVER (PARTITION BY f, x IS NOT NULL) - 1, 1) * 5)) AS INTEGER) END"

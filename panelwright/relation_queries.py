@@ -231,7 +231,7 @@ def ag20_leave_one_out(spark, sf_dir):
     d = facts(spark, sf_dir).dropna(subset=[*THREE, "r_20"])
     d = d.select("r_20", *((F.col(f) - F.avg(f).over(Window.partitionBy("trade_date"))).alias(f) for f in THREE))
     total = F.col("bias") + F.col("place") + F.col("surge")
-    return d.agg(F.corr(total / 3, "r_20").alias("all_three"), *(F.corr((total - F.col(f)) / 2, "r_20").alias(f"without_{f}") for f in THREE))
+    return d.agg(P.correlation(total / 3, "r_20").alias("all_three"), *(P.correlation((total - F.col(f)) / 2, "r_20").alias(f"without_{f}") for f in THREE))
 
 
 # Ranks and selections --------------------------------------------------------------------------------------

@@ -120,7 +120,7 @@ def sr07_weight_variants(spark, sf_dir):
     adjusted = clip(composite_static(c) + market_part(F.col("m")), 0.0, 100.0)
     variants = F.array(*(F.struct(F.lit(n).alias("variant"), s.alias("score")) for n, s in (("static", composite_static(c)), ("dynamic", dynamic), ("adjusted", adjusted))))
     long = d.where("r_20 IS NOT NULL").select("r_20", F.explode(variants).alias("v")).select("v.*", "r_20")
-    return long.groupBy("variant").agg(F.count("r_20").alias("n"), F.avg("score").alias("mean"), F.corr("score", "r_20").alias("ic"))
+    return long.groupBy("variant").agg(F.count("r_20").alias("n"), F.avg("score").alias("mean"), P.correlation("score", "r_20").alias("ic"))
 
 
 def damped(trend: Column, divergence: Column) -> Column:

@@ -53,12 +53,12 @@ def _ic(by: str) -> str:
 
 @query(_ic("cap"), "panel")
 def ev02_layered_ic(spark, sf_dir):
-    return facts(spark, sf_dir).groupBy("cap").agg(F.count(F.col("bias") + F.col("r_20")).alias("n"), F.corr("bias", "r_20").alias("ic_bias"), F.corr("surge", "r_20").alias("ic_surge")).where("n >= 50")
+    return facts(spark, sf_dir).groupBy("cap").agg(F.count(F.col("bias") + F.col("r_20")).alias("n"), P.correlation("bias", "r_20").alias("ic_bias"), P.correlation("surge", "r_20").alias("ic_surge")).where("n >= 50")
 
 
 @query(f"{FACTS} SELECT {', '.join('{corr(' + f'{f}, r_{h}) AS {f}_{h}' + '}' for f in ('bias', 'place', 'surge') for h in (5, 10, 20))} FROM facts", "panel")
 def ev01_ic_matrix(spark, sf_dir):
-    return facts(spark, sf_dir).agg(*(F.corr(f, f"r_{h}").alias(f"{f}_{h}") for f in ("bias", "place", "surge") for h in (5, 10, 20)))
+    return facts(spark, sf_dir).agg(*(P.correlation(f, f"r_{h}").alias(f"{f}_{h}") for f in ("bias", "place", "surge") for h in (5, 10, 20)))
 
 
 @query(f"{FACTS}, d AS (SELECT trade_date, covar_pop(bias, r_20) / nullif(round(stddev_pop(bias) * stddev_pop(r_20), 12), 0) AS ic FROM facts WHERE r_20 IS NOT NULL GROUP BY trade_date HAVING count(*) >= 10) SELECT count(ic) AS dates, {{avg(ic) AS mean}}, {{stddev_samp(ic) AS sd}}, {{avg(ic) / nullif(stddev_samp(ic), 0.0) AS icir}} FROM d", "panel")

@@ -185,3 +185,10 @@ def test_channel_walk_is_the_same_on_a_stream(spark):
     rows = lambda name: sorted((r.symbol, str(r.trade_date), r.phase, r.days) for r in panel.QUERIES[name](spark, SF).where("phase IS NOT NULL").collect())
     got = rows("sm05_channel_walk")
     assert got and got == rows("d10_eight_phases")
+
+
+def test_correlation_of_constant_groups(spark):
+    rows = [("flat", 1.0, float(i)) for i in range(4)] + [("one", 2.0, 3.0), ("none", None, 1.0), ("line", 1.0, 2.0), ("line", 2.0, 4.0), ("line", 9.0, None), ("some", 1.0, 5.0), ("some", 1.0, 7.0), ("some", 4.0, None)]
+    d = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r.k: r.c for r in d.groupBy("k").agg(P.correlation("x", "y").alias("c")).collect()}
+    assert math.isnan(got["flat"]) and math.isnan(got["one"]) and math.isnan(got["some"]) and got["none"] is None and got["line"] == pytest.approx(1.0)
