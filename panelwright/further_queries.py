@@ -145,7 +145,7 @@ def ag19_pairs(spark, sf_dir):
     d = facts(spark, sf_dir).dropna(subset=["bias", "place", "surge"]).select("symbol", "trade_date", "bias", "place", "surge")
     for c in ("bias", "place", "surge"):
         d = P.ranked_in_ranges(d, c, f"r_{c}")
-    out = d.agg(*(F.corr(x + a, x + b).alias(f"{x}{a}_{b}") for a, b in _PAIRS for x in ("", "r_")))
+    out = d.agg(*(P.correlation(x + a, x + b).alias(f"{x}{a}_{b}") for a, b in _PAIRS for x in ("", "r_")))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("pearson"), F.col(f"r_{a}_{b}").alias("spearman")) for a, b in _PAIRS))
     return out.select(F.explode(rows).alias("x")).select("x.*", ((F.abs("x.pearson") >= 0.3) | (F.abs("x.spearman") >= 0.3)).alias("close"))
 
@@ -238,7 +238,7 @@ def ev10_stability_sets(spark, sf_dir):
 @query(f"{FACTS} SELECT cap, value, industry, count(bias + r_20) AS n, {{corr(bias, r_20) AS ic}} FROM facts GROUP BY GROUPING SETS ((cap), (value), (industry)) HAVING count(bias + r_20) >= 50", "panel")
 def ev02_layers(spark, sf_dir):
     d = facts(spark, sf_dir)
-    return d.groupingSets([[F.col(c)] for c in ("cap", "value", "industry")], "cap", "value", "industry").agg(F.count(F.col("bias") + F.col("r_20")).alias("n"), F.corr("bias", "r_20").alias("ic")).where("n >= 50")
+    return d.groupingSets([[F.col(c)] for c in ("cap", "value", "industry")], "cap", "value", "industry").agg(F.count(F.col("bias") + F.col("r_20")).alias("n"), P.correlation("bias", "r_20").alias("ic")).where("n >= 50")
 
 
 _BOOKS = ("bias", "place", "surge")

@@ -192,3 +192,13 @@ def test_correlation_of_constant_groups(spark):
     d = spark.createDataFrame(rows, "k string, x double, y double")
     got = {r.k: r.c for r in d.groupBy("k").agg(P.correlation("x", "y").alias("c")).collect()}
     assert math.isnan(got["flat"]) and math.isnan(got["one"]) and math.isnan(got["some"]) and got["none"] is None and got["line"] == pytest.approx(1.0)
+
+
+def test_layers_with_a_constant_group(spark, monkeypatch):
+    from panelwright import further_queries
+
+    rows = [(c, 1, "I0", 0.0 if c == 0 else i / 10, float(i)) for c, n in ((0, 3), (1, 60)) for i in range(n)]
+    d = spark.createDataFrame(rows, "cap int, value int, industry string, bias double, r_20 double")
+    monkeypatch.setattr(further_queries, "facts", lambda spark, sf_dir: d)
+    got = sorted((r.cap or 0, r.value or 0, r.industry or "", r.n, round(r.ic, 6)) for r in further_queries.ev02_layers(spark, "").collect())
+    assert [g[3] for g in got] == [63, 63, 60] and got[-1] == (1, 0, "", 60, 1.0)
