@@ -110,3 +110,42 @@ def test_tfidf_equals_reference_definition(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.query_id, r.doc_id): r.score for r in text.tfidf_cosine(d, d.withColumnRenamed("doc_id", "query_id"), n=100).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def recalled(spark, f, monkeypatch, share):
+    """`f` on blocks of a few texts with copies, ties, empty and missing texts and a missing id, beside a plain loop; and that pairs that share a term are no rows."""
+    monkeypatch.setattr(text, "TILE", 7)
+    monkeypatch.setattr(text, "CHARS", 150)
+    words = ["the", "of", "Cat", "sat", "mat", "über", "x1", "zebra"]
+    texts = [" ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 9)) for i in range(60)] + ["the cat", "The, cat!", "the cat", "the cat", "the cat", "the cat", "the cat", "", None, "unique"]
+    rows = [*enumerate(texts), (None, "the cat sat")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    q = d.where("doc_id % 5 = 0 OR doc_id IS NULL").withColumnRenamed("doc_id", "query_id")
+    made = f(d, q, 4)
+    assert "JoinInner,(term" not in made._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+    scores = share([(i, t or "") for i, t in rows])
+    for i in range(0, len(texts), 5):
+        want = sorted((-round(s, 6), j) for j in range(len(texts)) if j != i and (s := scores(i, j)) > 0)[:4]
+        got = [(-r.score, r.doc_id) for r in made.where(f"query_id = {i}").orderBy("rank").collect()] if i in (0, 60, 65) else None
+        assert got is None or [(j, pytest.approx(s, abs=2e-6)) for s, j in want] == [(j, s) for s, j in got]
+    assert made.where("query_id IS NULL OR doc_id IS NULL").count() == 0
+
+
+def _bags(rows):
+    import re
+    from collections import Counter
+
+    return [Counter(w for w in re.split(r"[^\w]+", t.lower()) if w) for _, t in rows]
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    import math
+
+    def share(rows):
+        bags = _bags(rows)
+        n, mean = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
+        df = {w: sum(w in b for b in bags) for b in bags for w in b}
+        idf = lambda w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+        return lambda i, j: sum(idf(w) * bags[j][w] * 2.5 / (bags[j][w] + 1.5 * (0.25 + 0.75 * sum(bags[j].values()) / mean)) for w in bags[i] if w in bags[j])
+
+    recalled(spark, text.bm25, monkeypatch, share)
