@@ -149,3 +149,21 @@ def test_bm25_in_blocks(spark, monkeypatch):
         return lambda i, j: sum(idf(w) * bags[j][w] * 2.5 / (bags[j][w] + 1.5 * (0.25 + 0.75 * sum(bags[j].values()) / mean)) for w in bags[i] if w in bags[j])
 
     recalled(spark, text.bm25, monkeypatch, share)
+
+
+def test_tfidf_in_blocks(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    def share(rows):
+        flat = [re.sub(r"\s", "", t.lower()) for _, t in rows]
+        bags = [Counter(t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)) for t in flat]
+        df = Counter(g for b in bags for g in b)
+        vectors = [{g: k * (math.log((len(bags) + 1) / (df[g] + 1)) + 1) for g, k in b.items()} for b in bags]
+        norms = [math.sqrt(sum(x * x for x in v.values())) or 1.0 for v in vectors]
+        return lambda i, j: sum(x * vectors[j].get(g, 0.0) for g, x in vectors[i].items()) / norms[i] / norms[j]
+
+    recalled(spark, lambda *a: text.tfidf_cosine(*a), monkeypatch, share)
+    d = spark.createDataFrame([(0, "abcde"), (1, "abcdx"), (2, "zz")], "doc_id long, text string")
+    assert [r.doc_id for r in text.tfidf_cosine(d, d.where("doc_id = 0").withColumnRenamed("doc_id", "query_id"), sizes=(4,)).collect()] == [1]
