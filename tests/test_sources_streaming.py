@@ -167,3 +167,11 @@ def test_tfidf_in_blocks(spark, monkeypatch):
     recalled(spark, lambda *a: text.tfidf_cosine(*a), monkeypatch, share)
     d = spark.createDataFrame([(0, "abcde"), (1, "abcdx"), (2, "zz")], "doc_id long, text string")
     assert [r.doc_id for r in text.tfidf_cosine(d, d.where("doc_id = 0").withColumnRenamed("doc_id", "query_id"), sizes=(4,)).collect()] == [1]
+
+
+def test_jaccard_in_blocks(spark, monkeypatch):
+    def share(rows):
+        sets = [set(b) for b in _bags(rows)]
+        return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 0.0
+
+    recalled(spark, text.jaccard, monkeypatch, share)
