@@ -175,3 +175,27 @@ def test_jaccard_in_blocks(spark, monkeypatch):
         return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 0.0
 
     recalled(spark, text.jaccard, monkeypatch, share)
+
+
+def test_cosine_in_blocks(spark, monkeypatch):
+    """Beside SQL on odd vectors; every query beside every vector is no row."""
+    import random
+
+    import duckdb
+
+    from panelwright.queries import ORACLE_SQL
+
+    monkeypatch.setattr(text, "TILE", 3)
+    r = random.Random(5)
+    v = [[r.gauss(0, 1) for _ in range(8)] for _ in range(90)]
+    v[7:12] = [v[0]] * 5
+    v[20], v[21], v[22], v[23], v[24], v[25], v[40] = None, [], [None] * 8, [0.0] * 8, [None, *v[0][1:]], v[0][:5], [float("nan")] * 8
+    d = spark.createDataFrame(list(enumerate(v)), "doc_id long, v array<float>")
+    made = text.cosine(d, d.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "v AS q"))
+    assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [[i, x] for i, x in enumerate(v)])
+    shown = lambda rows: sorted((q, rank, i, "nan" if x != x else round(x, 5)) for q, i, x, rank in rows)
+    want, got = shown(con.execute(ORACLE_SQL["tx03_cosine"]).fetchall()), shown((x.query_id, x.doc_id, x.score, x.rank) for x in made.collect())
+    assert got == want
