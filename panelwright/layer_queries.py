@@ -9,7 +9,8 @@ from .operators import panels as P
 from .operators.spec import rounded
 from .panel_queries import W_, bucket_sql, lab, query, t
 from .shape_queries import rows_of
-from .sources.fixtures import CTES
+from .sources.fixtures import CTES, market, panel
+from .sources.scratch import kept
 
 FACTORS = ("ma_ratio_20", "ma_ratio_60", "ma20_ma60", "ma5_ma20", "channel_pos_60", "sump_20", "roc_20", "mfi_14", "atr_pct")
 MAIN = "buy_lg_amount + buy_elg_amount - sell_lg_amount - sell_elg_amount"
@@ -25,9 +26,11 @@ def flow_state(net: Column, n: Column, ins: Column, outs: Column) -> Column:
 
 
 def wide(spark, sf_dir) -> DataFrame:
-    """Factors, the return of the next 20 rows and the context of every bar."""
+    """Factors, the return of the next 20 rows and the context of every bar. Lines are read for the bars and their flow, which are written, and for the holdings."""
     w = P.by_time()
-    d = P.forward(t(spark, sf_dir, "panel"), (20,))
+    both = kept(t(spark, sf_dir, "panel_flow"), "bars")
+    bars = both.drop(*(x for x in both.columns if x.startswith(("buy_", "sell_"))))
+    d = P.forward(panel(spark, sf_dir, bars), (20,))
     back, c = (lambda n: w.rowsBetween(1 - n, 0)), F.col("close")
     mean = lambda x, n: F.when(F.count(x).over(back(n)) == n, F.avg(x).over(back(n)))
     d = d.withColumns({"tp": (F.col("high") + F.col("low") + c) / 3, "before": F.lag("close").over(w), "ma5": mean("close", 5), "ma20": mean("close", 20), "ma60": mean("close", 60)})
@@ -42,11 +45,11 @@ def wide(spark, sf_dir) -> DataFrame:
     }
     d = d.withColumns(made).withColumns({x: F.expr(rounded(x, 9)) for x in FACTORS})
     d = d.select("symbol", "trade_date", "r_20", *FACTORS, P.bucket(F.col("total_mv"), P.CAP_BOUNDS).cast("string").alias("mv"), P.bucket(F.col("pe"), P.PE_BOUNDS).cast("string").alias("pe"), "industry")
-    f = t(spark, sf_dir, "flow").select("symbol", "trade_date", F.round(F.expr(MAIN), 2).alias("net"))
+    f = both.select("symbol", "trade_date", F.round(F.expr(MAIN), 2).alias("net"))
     three = w.rowsBetween(-2, 0)
     f = f.select("symbol", "trade_date", flow_state(F.col("net"), F.count("net").over(three), F.count(F.when(F.col("net") > 0, 1)).over(three), F.count(F.when(F.col("net") < 0, 1)).over(three)).alias("mf_state"))
-    m = t(spark, sf_dir, "market").select("trade_date", trend_of(F.round(100 * (c / F.lag("close", 20).over(w) - 1), 9)).alias("trend"))
-    held = t(spark, sf_dir, "holdings").groupBy("symbol").agg(F.count(F.lit(1)).alias("funds"))
+    m = market(spark, sf_dir, bars).select("trade_date", trend_of(F.round(100 * (c / F.lag("close", 20).over(w) - 1), 9)).alias("trend"))
+    held = kept(t(spark, sf_dir, "holdings").groupBy("symbol").agg(F.count(F.lit(1)).alias("funds")), "held")
     held = held.join(F.broadcast(held.agg(F.avg("funds").alias("usual")))).select("symbol", (F.col("funds") > F.col("usual")).alias("etf_held"))  # one row
     d = d.join(f, ["symbol", "trade_date"], "left").join(m, "trade_date", "left").join(held, "symbol", "left")
     return d.withColumn("etf_held", F.coalesce("etf_held", F.lit(False)))
@@ -63,8 +66,8 @@ def table_of(d: DataFrame) -> DataFrame:
 
 
 def score(spark, sf_dir) -> DataFrame:
-    d = by_factor(wide(spark, sf_dir))
-    return layers.layered_score(d, table_of(d))
+    d = by_factor(kept(wide(spark, sf_dir), "wide"))
+    return layers.layered_score(d, kept(table_of(d), "validity"))
 
 
 _F = lambda n: f"({W_} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"

@@ -47,9 +47,9 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(*_flow_cells())
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with industry, total_mv and pe: one aggregate and one window, no second scan."""
-    b = bars(spark, sf_dir)
+def panel(spark: SparkSession, sf_dir: str, b: DataFrame | None = None) -> DataFrame:
+    """Bars (`b`, if they are there already) with industry, total_mv and pe: one aggregate and one window, no second scan."""
+    b = bars(spark, sf_dir) if b is None else b
     brands = read(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct().selectExpr("symbol", "row_number() OVER (ORDER BY symbol) - 1 AS r")
     factor = F.element_at(F.array(*map(F.lit, CAP_FACTORS)), (F.floor(F.col("r") / 5) % 5 + 1).cast("int"))
     d = b.join(brands, "symbol")
@@ -67,9 +67,9 @@ def panel_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("symbol", "trade_date").agg(*_bar_cells(), *_flow_cells())
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The equal-weight market series, as bars of the one symbol INDEX."""
-    d = bars(spark, sf_dir).groupBy("trade_date").agg(*(F.round(F.avg(c), 8).alias(c) for c in ("open", "high", "low", "close")), F.sum("vol").alias("vol"), F.round(F.sum("amount"), 2).alias("amount"))
+def market(spark: SparkSession, sf_dir: str, b: DataFrame | None = None) -> DataFrame:
+    """The equal-weight market series of all bars (`b`, if they are there already), as bars of the one symbol INDEX."""
+    d = (bars(spark, sf_dir) if b is None else b).groupBy("trade_date").agg(*(F.round(F.avg(c), 8).alias(c) for c in ("open", "high", "low", "close")), F.sum("vol").alias("vol"), F.round(F.sum("amount"), 2).alias("amount"))
     return d.select(F.lit("INDEX").alias("symbol"), *d.columns)
 
 

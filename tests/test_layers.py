@@ -4,6 +4,7 @@ import random
 import pytest
 
 from panelwright.operators import layers
+from tests.conftest import SF
 
 MA, CH, SU, TX, MH, RS = (-0.04, -0.01, 0.02, 0.06), (0.2, 0.4, 0.6, 0.8), (10.0, 15.0, 20.0, 25.0), (-0.2, 0.0, 0.2, 0.5), (-0.3, -0.1, 0.1, 0.3), (35.0, 45.0, 55.0, 60.0)
 TABLE = [
@@ -96,3 +97,11 @@ def test_validity_table_equals_plain_counting(spark):
         wins = [sum(y > 0 for y in f) / len(f) if len(f) >= 20 else None for f in fifths]
         assert [n or 0 for n in t.ns] == [len(f) for f in fifths] and t.wins == pytest.approx(wins)
         assert t.active == (wins[2] is not None and max(w for w in wins if w is not None) - wins[2] >= 0.05)
+
+
+def test_layered_score_reads_its_lines_once(spark):
+    """What scores and their table are made of is written once: no scan of the lines is left in the plan."""
+    from panelwright import layer_queries
+
+    for f in (layer_queries.sr10_active_factors, layer_queries.sr10_silent_factors, layer_queries.sr10_layered_score):
+        assert "l_orderkey" not in f(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
