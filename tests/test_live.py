@@ -102,3 +102,32 @@ def test_scores_against_their_last_n(spark, tmp_path):
             else:
                 assert g.reason == "stretched" and g.score == pytest.approx(max(5, min(95, 55 + 18 * (x - statistics.mean(h)) / statistics.stdev(h))))
     assert {g.reason for g in got.values()} == {"cold_start", "sigma_ok", "stretched"}
+
+
+def test_signals_of_a_date_are_followed_together():
+    """Bars pass by dates: the work of a symbol's run doesn't grow with the signals of a date; an id that comes again is the later signal."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows = None
+
+        exists, get, put, clear = lambda self: self.rows is not None, lambda self: iter(self.rows), lambda self, rows: setattr(self, "rows", rows), lambda self: setattr(self, "rows", None)
+
+    class Counted(live.Outcomes):
+        calls = 0
+
+        @staticmethod
+        def passed(s, day, close):
+            Counted.calls += 1
+            live.Outcomes.passed(s, day, close)
+
+    p, days = Counted(), [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(30)]
+    p.open, p.ring = State(), State()
+    bars = lambda at: [(d, 0, -1, 100.0 + i) for i, d in enumerate(days) if i in at]
+    take = lambda rows: pd.concat(p.handleInputRows(("A",), iter([pd.DataFrame(rows, columns=["trade_date", "is_signal", "id", "close"])]), None)).set_index("id")
+    got = take(bars(range(10)) + [(days[2], 1, i, None) for i in range(2000)])
+    assert len(got) == 2000 and set(got.status) == {"open"} and set(got.filled) == {7}
+    got = take(bars(range(10, 30)) + [(days[12], 1, 7, None)])
+    assert len(got) == 2000 and Counted.calls < 100 and set(got.drop(7).status) == {"closed"} and got.loc[7, "filled"] == 17 and got.loc[7, "base"] == 112.0
+    assert got.loc[1, "ret_20"] == pytest.approx(100 * (122 / 102 - 1)) and p.open.rows[0][0] == [7]
