@@ -22,6 +22,8 @@ key are left as they are and are no reference. Texts of fewer than `window` word
 """
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -81,6 +83,17 @@ def factors_of(runs: pa.StructArray, window: int) -> list[dict]:
     return out
 
 
+def packed(batches):
+    """Batches of (key, text) with each text deflated: texts go over the network once, and words of prose take less than half the room."""
+    for b in batches:
+        texts = pa.array([None if t is None else zlib.compress(t.encode(), 1) for t in b.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("key"), texts], ["key", "text"])
+
+
+def unpacked(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else zlib.decompress(t).decode() for t in texts.to_pylist()], pa.string())
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -110,6 +123,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     # Equal keys are one document: its grams count once.
     twice = seeded.groupBy("gram").agg(F.sum("n").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.max("n").alias("m")).where("a < b OR m > 1").select("gram")
     twice = keep(twice, "dedup-grams")
+    small = docs.mapInArrow(packed, "key long, text binary")
     wanted = seeded.select("gram", "key").join(twice, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
 
     def windows(batches):
@@ -150,7 +164,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         rows, size = [], 0
         for b in batches:
             some = b.filter(pa.compute.is_valid(b.column("grams")))
-            for k, h, known in zip(some.column("key").to_pylist(), hashes.of(some.column("text")), some.column("grams")):
+            for k, h, known in zip(some.column("key").to_pylist(), hashes.of(unpacked(some.column("text"))), some.column("grams")):
                 rows.append((k, h, known.values.to_numpy()))
                 size += len(h)
             if size > 1_500_000:
@@ -160,7 +174,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             yield from block(rows)
 
     NAMES = ["w1", "w2", "key", "start", "runs"]
-    asked = docs.join(wanted, "key", "left").mapInArrow(windows, f"w1 long, w2 int, key long, start int, runs {RUNS_SQL}")
+    asked = small.join(wanted, "key", "left").mapInArrow(windows, f"w1 long, w2 int, key long, start int, runs {RUNS_SQL}")
     same = W.partitionBy("w1", "w2").orderBy("key", "start")
     later = asked.withColumns({"rank": F.rank().over(same), "first": F.first(F.struct("key", "start")).over(same)}).where("runs IS NOT NULL OR rank > 1")
     one = F.struct("start", F.lit(1).alias("n"), F.col("first.key").alias("of"), F.col("first.start").alias("at"))
@@ -170,7 +184,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     def cut(batches):
         for b in batches:
             n_words, n_removed, kept, factors = [], [], [], []
-            for t, runs in zip(b.column("text").to_pylist(), b.column("runs")):
+            for t, runs in zip(unpacked(b.column("text")).to_pylist(), b.column("runs")):
                 words = _words(t)
                 n_words.append(len(words))
                 found = factors_of(runs.values, window) if runs.is_valid and len(runs.values) else []
@@ -185,7 +199,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("of", pa.int64()), ("at", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, kind)], ["key", "n_words", "n_removed", "kept", "factors"])
 
-    out = docs.join(later, "key", "left").mapInArrow(cut, "key long, n_words long, n_removed long, kept string, factors array<struct<start:int,n_words:int,of:long,at:int>>")
+    out = small.join(later, "key", "left").mapInArrow(cut, "key long, n_words long, n_removed long, kept string, factors array<struct<start:int,n_words:int,of:long,at:int>>")
     return out.withColumnRenamed("key", key)
 
 

@@ -474,3 +474,14 @@ def test_pipeline_stages(spark):
     mixed = Counter(r.doc_id for r in C.mix_sources(spark, docs, SF).collect())
     assert mixed == Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
     assert C.encode(spark, docs, SF).count() == docs.count() and [n for n, _ in C.STAGES][0] == "quality classifier"
+
+
+def test_substrings_ship_deflated_texts():
+    """Texts that go over the network are deflated and come back as they were."""
+    import pyarrow as pa
+
+    from panelwright.llm import substrings
+
+    texts = ["the cat sat on the mat " * 40, "", None, "über \U0001f600\x00"]
+    made = next(substrings.packed(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], ["key", "text"])])))
+    assert substrings.unpacked(made.column("text")).to_pylist() == texts and len(made.column("text")[0].as_py()) < 100
