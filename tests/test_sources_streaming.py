@@ -177,6 +177,30 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     recalled(spark, text.jaccard, monkeypatch, share)
 
 
+def test_floors_of_first_blocks(spark, monkeypatch):
+    """Most blocks put out only what reaches the score that a query has found before, not their own best ones; the rows are those of a plain loop."""
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    bags = [[f"w{int(300 ** r.random())}" for _ in range(r.randint(3, 40))] for _ in range(600)]
+    monkeypatch.setattr(text, "CHARS", 2000)
+    seen, real = [], text.best
+    monkeypatch.setattr(text, "best", lambda scored, *a, **b: seen.append(scored) or real(scored, *a, **b))
+    d = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bags)], "doc_id long, text string")
+    made = text.bm25(d, d.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 3)
+    got = {(x.query_id, x.rank): (x.doc_id, x.score) for x in made.collect()}
+    n_blocks, n_queries = sum(map(lambda b: len(" ".join(b)), bags)) // 2000, 30
+    assert n_blocks > 20 and seen[-1].count() < n_blocks * n_queries * 4 / 2
+    mean, df = sum(map(len, bags)) / len(bags), Counter(w for b in bags for w in set(b))
+    idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    for q in range(0, len(bags), 20):
+        scores = [(-round(sum(idf[w] * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * len(b) / mean)) for w, c in Counter(b).items() if w in bags[q]), 6), i) for i, b in enumerate(bags) if i != q]
+        want = sorted(x for x in scores if x[0] < 0)[:3]
+        assert [got[q, k + 1][0] for k in range(len(want))] == [i for _, i in want] and all(abs(got[q, k + 1][1] + s) < 2e-6 for k, (s, _) in enumerate(want))
+
+
 def test_cosine_in_blocks(spark, monkeypatch):
     """Beside SQL on odd vectors; every query beside every vector is no row."""
     import random
