@@ -201,6 +201,20 @@ def test_floors_of_first_blocks(spark, monkeypatch):
         assert [got[q, k + 1][0] for k in range(len(want))] == [i for _, i in want] and all(abs(got[q, k + 1][1] + s) < 2e-6 for k, (s, _) in enumerate(want))
 
 
+def test_floors_of_first_blocks_for_ngrams(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(r.randint(2, 12)))) for i in range(300)]
+    monkeypatch.setattr(text, "CHARS", 500)
+    seen, real = [], text.best
+    monkeypatch.setattr(text, "best", lambda scored, *a, **b: seen.append(scored) or real(scored, *a, **b))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    made = text.tfidf_cosine(d, d.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 3)
+    n_blocks = sum(len(t.replace(" ", "")) for _, t in rows) // 500
+    assert made.count() == 45 and n_blocks > 10 and seen[-1].count() < n_blocks * 15 * 4 / 2
+
+
 def test_cosine_in_blocks(spark, monkeypatch):
     """Beside SQL on odd vectors; every query beside every vector is no row."""
     import random
